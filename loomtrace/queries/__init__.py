@@ -4,6 +4,8 @@ from importlib import import_module
 
 FAMILIES = (
     "sources",
+    "groups",
+    "behaviour",
 )
 
 
