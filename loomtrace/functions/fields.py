@@ -55,20 +55,24 @@ def context_field(line: Column, key: str) -> Column:
     return unquote(field(line, key), '"')
 
 
-def field_map(
+def field_columns(
     line: Column,
     keys: Sequence[str],
     *,
     ignore_case: bool = False,
     strip_quotes: bool = True,
-) -> Column:
+) -> dict[str, Column]:
+    """Value of each requested key, NULL when absent."""
+    raw = {k: field(line, k, ignore_case=ignore_case, whole=True) for k in keys}
+    return {k: unquote(v) for k, v in raw.items()} if strip_quotes else raw
+
+
+def field_map(line: Column, keys: Sequence[str], **options: bool) -> Column:
     """Map of the requested keys that are present; absent keys have no entry."""
-    pairs = []
-    for key in keys:
-        value = field(line, key, ignore_case=ignore_case, whole=True)
-        if strip_quotes:
-            value = unquote(value)
-        pairs.append(F.struct(F.lit(key).alias("key"), value.alias("value")))
+    pairs = [
+        F.struct(F.lit(k).alias("key"), v.alias("value"))
+        for k, v in field_columns(line, keys, **options).items()
+    ]
     present = F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())
     return F.map_from_entries(present)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -90,11 +91,13 @@ def _member(record: Column, path: str) -> Column:
     )
 
 
-def mask_json_record(line: Column, *, aggressive: bool = False) -> Column:
-    """One compact line from an application's JSON record; other text: generic mask."""
-    bare = strip(line)
-    record = F.try_parse_json(bare)
-    is_record = F.coalesce(F.schema_of_variant(record).startswith("OBJECT"), F.lit(False))
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` one time for all the places `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _compact(record: Column, aggressive: bool) -> Column:
+    """The compact line of a parsed record, NULL when it is no JSON object."""
 
     def member(name: str, default: str) -> Column:
         return F.coalesce(_member(record, f"$.{name}"), F.lit(default))
@@ -124,7 +127,14 @@ def mask_json_record(line: Column, *, aggressive: bool = False) -> Column:
     )
     if aggressive:
         composed = mask_numbers(composed)
-    return F.when(is_record, composed).otherwise(mask_generic(line, aggressive=aggressive))
+    return F.when(F.schema_of_variant(record).startswith("OBJECT"), composed)
+
+
+def mask_json_record(line: Column, *, aggressive: bool = False) -> Column:
+    """One compact line from an application's JSON record; other text: generic mask."""
+    parsed = F.try_parse_json(strip(line))
+    compact = _once(parsed, lambda record: _compact(record, aggressive))
+    return F.coalesce(compact, mask_generic(line, aggressive=aggressive))
 
 
 def detect_line_type(line: Column) -> Column:

@@ -179,49 +179,41 @@ def audit_rows(
     keep: Sequence[str] = ("actor", "line_no"),
     text: str = "text",
 ) -> DataFrame:
-    """Field maps of the lines that match `pattern`."""
-    found = fields.field_map(
+    """One column per key for the lines that match `pattern`; an absent key is NULL.
+
+    Columns that nobody reads are pruned together with their regular expressions.
+    """
+    found = fields.field_columns(
         F.col(text), keys, ignore_case=ignore_case, strip_quotes=strip_quotes
     )
-    rows = lines.where(F.col(text).rlike(pattern)).select(*keep, found.alias("fields"))
-    if require_all:
-        rows = rows.where(F.size("fields") == len(set(keys)))
-    return rows
+    rows = lines.where(F.col(text).rlike(pattern)).select(
+        *keep, *[value.alias(key) for key, value in found.items()]
+    )
+    return rows.dropna(subset=list(keys)) if require_all else rows
 
 
 def value_counts(
     rows: DataFrame, target: str, *, given: tuple[str, str] | None = None, actor: str = "actor"
 ) -> DataFrame:
     """Counts of a field's values, optionally of rows with another field's value."""
-    chosen = rows
-    if given is not None:
-        chosen = rows.where(F.col("fields")[given[0]] == given[1])
-    item = F.col("fields")[target]
-    return (
-        chosen.where(item.isNotNull())
-        .groupBy(actor, item.alias("item"))
-        .agg(F.count("*").alias("cnt"))
-    )
+    chosen = rows if given is None else rows.where(F.col(given[0]) == given[1])
+    counted = chosen.groupBy(actor, F.col(target).alias("item")).agg(F.count("*").alias("cnt"))
+    return counted.where(F.col("item").isNotNull())
 
 
 def pair_counts(rows: DataFrame, key_1: str, key_2: str, *, actor: str = "actor") -> DataFrame:
-    one, two = F.col("fields")[key_1], F.col("fields")[key_2]
-    return (
-        rows.where(one.isNotNull() & two.isNotNull())
-        .groupBy(actor, F.concat_ws(" | ", one, two).alias("item"))
-        .agg(F.count("*").alias("cnt"))
-    )
+    """Counts of value pairs of the rows that have both fields."""
+    pair = F.concat(F.col(key_1), F.lit(" | "), F.col(key_2))
+    counted = rows.groupBy(actor, pair.alias("item")).agg(F.count("*").alias("cnt"))
+    return counted.where(F.col("item").isNotNull())
 
 
 def presence_patterns(
     rows: DataFrame, keys: Sequence[str], *, actor: str = "actor"
 ) -> DataFrame:
     """Which of the keys occur together, in the given key order; none is a pattern too."""
-    asked = F.array(*[F.lit(k) for k in keys])
-    present = F.filter(asked, lambda k: F.map_contains_key(F.col("fields"), k))
-    return rows.groupBy(actor, F.array_join(present, " | ").alias("item")).agg(
-        F.count("*").alias("cnt")
-    )
+    present = F.concat_ws(" | ", *[F.when(F.col(k).isNotNull(), F.lit(k)) for k in keys])
+    return rows.groupBy(actor, present.alias("item")).agg(F.count("*").alias("cnt"))
 
 
 def distribution(counts: DataFrame, *, actor: str = "actor") -> DataFrame:

@@ -139,7 +139,7 @@ def gaps(spark, sf):
 @query(
     "i2_gap_transform",
     f"""WITH {GAPS} SELECT actor, log_type, gap_pos,
-        round(log10((greatest(0.0, least(gap, 3600.0))::FLOAT + 1e-6::FLOAT)::DOUBLE), 5) AS value
+        round(log10((greatest(0.0, least(gap, 3600.0))::FLOAT + 1e-6::FLOAT)::DOUBLE)::FLOAT::DOUBLE, 5) AS value
       FROM gps WHERE log_type = 'syslog'""",
 )
 def gap_transform(spark, sf):
