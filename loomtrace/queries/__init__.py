@@ -6,6 +6,7 @@ FAMILIES = (
     "sources",
     "groups",
     "behaviour",
+    "learning",
 )
 
 
