@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.functions.text import characters
@@ -42,25 +42,33 @@ def char_ngrams(text: Column, low: int, high: int, *, lowercase: bool = False) -
 
 
 def _ngrams(tokens: Column, low: int, high: int, joint: str) -> Column:
-    """All runs of `low` to `high` tokens; the tokens are read once."""
+    """All runs of `low` to `high` tokens, as one array.
+
+    Longer runs grow from shorter ones token by token, which stays linear in the text.
+    """
 
     def runs(held: Column) -> Column:
-        lists = []
-        for n in range(low, high + 1):
-            last = F.size(held) - n
-            starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(
-                F.array().cast("array<int>")
-            )
-            lists.append(
-                F.transform(
-                    starts, lambda i, n=n: F.array_join(F.slice(held, i + 1, n), joint)
+        found, gram = [], held
+        for n in range(1, high + 1):
+            if n > 1:
+                left = F.greatest(F.size(held) - (n - 1), F.lit(0))
+                gram = F.zip_with(
+                    F.slice(gram, F.lit(1), left),
+                    F.slice(held, F.lit(n), left),
+                    lambda a, b: F.concat(a, F.lit(joint), b),
                 )
-            )
-        return F.concat(*lists)
+            if n >= low:
+                found.append(gram)
+        return F.concat(*found) if len(found) > 1 else found[0]
 
     return F.get(F.transform(F.array(tokens), runs), F.lit(0))
 
 
+def grams_of(tokens: Column, n: int, joint: str = "") -> Column:
+    """The runs of exactly `n` tokens, in text order."""
+    return _ngrams(tokens, n, n, joint)
+
+
 def term_counts(
     examples: DataFrame,
     spec: TextFeatures,
@@ -116,10 +124,9 @@ def tfidf(
     local = (1 + F.log(tf)) if spec.sublinear else tf
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
     raw = _with_vocabulary(counts, vocab, spec).select(*keep, "term", (local * idf).alias("_w"))
-    norms = raw.groupBy(*keep).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return raw.join(norms, list(keep)).select(
-        *keep, "term", (F.col("_w") / F.col("_norm")).alias("weight")
-    )
+    one_row = Window.partitionBy(*keep)
+    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(one_row))
+    return raw.select(*keep, "term", (F.col("_w") / length).alias("weight"))
 
 
 def presence(

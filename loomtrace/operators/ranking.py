@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.functions.text import safe_divide
+from loomtrace.session import anchor
 
 CORE = ("normalized_mean_separation", "silhouette_overall", "cliffs_delta_mean")
 WEIGHTS = (0.2, 0.3, 0.5)  # fixed values: weights of the three core scores
@@ -111,8 +112,11 @@ def _weighted(suffix: str) -> Column:
 
 
 def composite(rows: DataFrame) -> DataFrame:
-    """Weighted sum of scaled scores and weighted mean rank (lower is better)."""
-    ranked = competition_ranks(min_max(rows))
+    """Weighted sum of scaled scores and weighted mean rank (lower is better).
+
+    The rows are read once per score and again for the spans, so they are pinned first.
+    """
+    ranked = competition_ranks(min_max(anchor(rows)))
     return ranked.withColumns(
         {"composite_score": _weighted("norm"), "rank_aggregate_score": _weighted("rank")}
     )

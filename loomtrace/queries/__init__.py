@@ -7,6 +7,8 @@ FAMILIES = (
     "groups",
     "behaviour",
     "learning",
+    "rankings",
+    "streams",
 )
 
 

@@ -16,8 +16,8 @@ from loomtrace.sources.testviews import (
     V_EMB,
     V_EVENTS,
     V_PRED,
-    table,
     v_chat,
+    v_documents,
     v_emb,
     v_events,
     v_lines,
@@ -168,10 +168,7 @@ WORDS = r"regexp_extract_all(lower(text), '[\pL\pM\pN_]{2,}')"
 
 def documents(spark, sf):
     """Documents as examples: the actor from the source, two actors held out for each part."""
-    lines = v_lines(spark, sf)
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("example_id"), "text")
-    actors = lines.where("pos = 0").select(F.col("doc_id").alias("example_id"), "actor")
-    rows = docs.join(actors, "example_id")
+    rows = v_documents(spark, sf)
     rows = rows.withColumn("label", catalog.class_label(F.col("actor")))
     return splits.fixed_split(rows, ["GPT0", "H4"], ["GPT1", "H5"])
 
@@ -734,51 +731,55 @@ def decision_values(spark, sf):
     return rounded(attribution.decision_values(evidence, docs, intercept=0.25), "decision")
 
 
-# Places of a term: positions where the lower-case text continues with it between word borders.
-PLACES = """
-sp AS (SELECT example_id, text, t.rank, t.term, lower(text) AS low FROM doc JOIN tpk t USING (example_id)),
-hit AS (SELECT example_id, rank, term, i - 1 AS start, i - 1 + length(term) AS "end" FROM (
-  SELECT *, unnest(range(1, length(text) - length(term) + 2)) AS i FROM sp)
-  WHERE substr(low, i, length(term)) = term {borders}
-  QUALIFY row_number() OVER (PARTITION BY example_id, rank ORDER BY i) <= 6)"""
+CHAR3 = features.TextFeatures(analyzer="char", ngrams=(3, 3), lowercase=False)
+CHAR_HITS = f"""{DOCS},
+sps AS (SELECT example_id, regexp_replace(text, '[\\t-\\r ][\\t-\\r ]+', ' ', 'g') AS s FROM doc),
+one AS (SELECT example_id, substr(s, i, 3) AS term FROM (SELECT example_id, s, unnest(range(1, length(s) - 1)) AS i FROM sps)),
+{tfidf_sql('one')},
+tpk AS (SELECT example_id, term, row_number() OVER (PARTITION BY example_id ORDER BY round(weight, 12) DESC, term) AS rank FROM wts QUALIFY rank <= 3),
+pos AS (SELECT example_id, lower(substr(text, i, 3)) AS g, i - 1 AS start FROM (SELECT example_id, text, unnest(range(1, length(text) - 1)) AS i FROM doc)),
+hit AS (SELECT t.example_id, t.rank, t.term, start, start + 3 AS "end" FROM tpk t JOIN pos p ON p.example_id = t.example_id AND g = lower(t.term)
+  QUALIFY row_number() OVER (PARTITION BY t.example_id, t.rank ORDER BY start) <= 6)"""
 
 
-@query(
-    "x4_char_spans",
-    f"""WITH {EVIDENCE}, {PLACES.format(borders='')} SELECT * FROM hit""",
-)
+@query("x4_char_spans", f"WITH {CHAR_HITS} SELECT * FROM hit")
 def char_spans(spark, sf):
-    docs, _, top = explained(spark, sf)
-    lengths = [r["n"] for r in top.select(F.length("term").alias("n")).distinct().collect()]
-    found = attribution.char_spans(docs, top.where(F.col("term") != attribution.NO_FEATURES), lengths=lengths)
-    return found.select("example_id", "rank", "term", F.col("start").cast("long"), F.col("end").cast("long"))
+    """Places of the three heaviest character trigrams of every document."""
+    docs, _, counts, vocab = text_features(spark, sf, CHAR3)
+    weights = features.tfidf(counts, vocab, CHAR3).withColumn("evidence", F.col("weight"))
+    top = attribution.top_features(weights, docs.select("example_id", F.lit("human").alias("y_pred")))
+    return attribution.char_spans(docs, top, lengths=[3])
 
 
 WORD_HITS = f"""{EVIDENCE},
 pcs AS (SELECT example_id, generate_subscripts(p, 1) AS no, unnest(p) AS piece FROM (
   SELECT example_id, regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+') AS p FROM doc)),
 plc AS (SELECT *, sum(length(piece)) OVER (PARTITION BY example_id ORDER BY no) AS e FROM pcs),
-hit AS (SELECT t.example_id, t.rank, t.term, e - length(piece) AS start, e AS "end" FROM tpk t JOIN plc p
-  ON p.example_id = t.example_id AND lower(piece) = array_to_string(regexp_extract_all(t.term, '[A-Za-z0-9_]+'), ' ')
-  QUALIFY row_number() OVER (PARTITION BY t.example_id, t.rank ORDER BY e) <= 6)"""
+arr AS (SELECT example_id, list(lower(piece) ORDER BY no) AS ws, list(e - length(piece) ORDER BY no) AS ss, list(e ORDER BY no) AS es FROM plc
+  WHERE regexp_matches(piece, '^[A-Za-z0-9_]+$') GROUP BY example_id),
+pat AS (SELECT t.*, regexp_extract_all(lower(term), '[A-Za-z0-9_]+') AS ps FROM tpk t),
+cnd AS (SELECT example_id, rank, term, ps, ws, ss, es, unnest(range(1, len(ws) - len(ps) + 2)) AS i FROM pat JOIN arr USING (example_id) WHERE len(ps) > 0),
+hit AS (SELECT example_id, rank, term, ss[i]::BIGINT AS start, es[i + len(ps) - 1]::BIGINT AS "end" FROM cnd WHERE ws[i:i + len(ps) - 1] = ps
+  QUALIFY row_number() OVER (PARTITION BY example_id, rank ORDER BY i) <= 6)"""
 
 
-@query("x4_word_spans", f"""WITH {WORD_HITS} SELECT example_id, rank, term, start::BIGINT AS start, "end"::BIGINT AS "end" FROM hit""")
+@query("x4_word_spans", f"""WITH {WORD_HITS} SELECT * FROM hit""")
 def word_spans(spark, sf):
     docs, _, top = explained(spark, sf)
-    return attribution.word_spans(docs, top, max_words=2)
+    return attribution.word_spans(docs, top)
 
 
 @query(
     "x5_non_overlapping",
-    f"""WITH {WORD_HITS}, d AS (SELECT example_id, min(rank) AS rank, start, "end" FROM hit GROUP BY ALL)
-      SELECT example_id, rank, start::BIGINT AS start, "end"::BIGINT AS "end" FROM d""",
+    f"""WITH RECURSIVE {WORD_HITS}, s AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY start, rank, start - "end") AS k FROM hit),
+      w AS (SELECT *, "end" AS last, true AS ok FROM s WHERE k = 1
+        UNION ALL SELECT s.*, CASE WHEN s.start >= w.last THEN s."end" ELSE w.last END, s.start >= w.last
+        FROM w JOIN s ON s.example_id = w.example_id AND s.k = w.k + 1)
+      SELECT example_id, rank, term, start, "end" FROM w WHERE ok""",
 )
 def non_overlapping(spark, sf):
-    """Single-word spans either coincide or do not touch, so the best rank per place stays."""
     docs, _, top = explained(spark, sf)
-    kept = attribution.non_overlapping(attribution.word_spans(docs, top, max_words=2))
-    return kept.select("example_id", "rank", "start", "end")
+    return attribution.non_overlapping(attribution.word_spans(docs, top))
 
 
 @query(

@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Use all cores for costly work on a scan of few files; large scans stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, key)
+
+
 def _actor(number: Column) -> Column:
     return F.when(number < 4, F.concat(F.lit("GPT"), number)).otherwise(
         F.concat(F.lit("H"), number)
@@ -25,7 +33,7 @@ def _actor(number: Column) -> Column:
 def v_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text lines of documents: 4 + 4 actors, the language as log type."""
     source = F.regexp_extract("source", "([0-9]+)", 1).cast("int")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         _actor(source % 8).alias("actor"),
         F.col("lang").alias("log_type"),
         "doc_id",
@@ -33,6 +41,14 @@ def v_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def v_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as examples, with the actors of `v_lines`."""
+    source = F.regexp_extract("source", "([0-9]+)", 1).cast("int")
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
+        F.col("doc_id").alias("example_id"), "text", _actor(source % 8).alias("actor")
+    )
+
+
 V_LINES = """
 v_lines AS (
   SELECT CASE WHEN k < 4 THEN 'GPT' || k ELSE 'H' || k END AS actor, log_type, doc_id,
@@ -69,7 +85,7 @@ def v_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     `line_no` numbers the lines of one actor's log by (event, record).
     """
-    e = v_events(spark, sf_dir)
+    e = spread(v_events(spark, sf_dir), "event_id")
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     epoch = F.concat(
         F.floor(F.unix_micros("ts") / 1_000_000).cast("string"),
