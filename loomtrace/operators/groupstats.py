@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtrace.operators.ranktests import rank_sums, with_mann_whitney_p
+from loomtrace.session import anchor
 from loomtrace.sources.catalog import class_label, is_ai, split_by_class
 
 TRUE_IDX = -1
@@ -256,10 +257,11 @@ def group_report(
     """One row per (config, labeling): class summaries, silhouettes and both tests.
 
     Undefined pairs are expected to be gone (`drop_incomplete`). `n_actors` bounds the
-    pairs per row and saves measuring them.
+    pairs per row and saves measuring them. Pairs are few but come from a whole scan, and
+    three summaries read them, so they are pinned.
     """
     by = [*keys, "idx"]
-    labelled = label_pairs(pairs, assignments)
+    labelled = label_pairs(anchor(pairs), assignments)
     bound = None if n_actors is None else n_actors * (n_actors - 1) // 2
     tests = separation_tests(labelled, by, bound=bound)
     if p_values:

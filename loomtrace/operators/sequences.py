@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomtrace.operators.distributions import pair_distances
 from loomtrace.operators.windows import swept_windows
 from loomtrace.plans.ordered import MAX_TASK_ROWS, along
+from loomtrace.session import anchor
 
 SCALARS = ("gini", "kurtosis", "entropy", "mad")
 
@@ -101,7 +102,12 @@ def pair_profiles(
     suffix: str = "",
     min_distinct: int = 3,
 ) -> DataFrame:
-    """All pairs: absolute differences of the four scalars plus L1 and JS distance."""
+    """All pairs: absolute differences of the four scalars plus L1 and JS distance.
+
+    Counts come from a whole scan and are read for the scalars, totals and pairs, so they
+    are pinned.
+    """
+    counts = anchor(counts)
     scalars = actors.join(
         profile(counts, [*group, "actor"], min_distinct=min_distinct), [*group, "actor"], "left"
     )

@@ -16,6 +16,7 @@ from loomtrace.operators.groupstats import (
     true_assignment,
 )
 from loomtrace.operators.nulls import empirical_p, metric_series
+from loomtrace.session import anchor
 from loomtrace.sources.catalog import actor_names
 
 MODES = ("word", "char")
@@ -29,16 +30,19 @@ def one_gram_distances(
     group: Sequence[str] = (),
     min_count: int = 1,
 ) -> DataFrame:
-    """The whole sweep (group x mode x metric) as one job: (.., mode, actors, metric, distance)."""
+    """The whole sweep (group x mode x metric): (.., mode, actors, metric, distance).
+
+    The text is read once for the counts of all modes, which are pinned; a mode in which
+    an actor has no tokens still lists the actor.
+    """
     keys = [*group, "actor"]
     counts = None
     for mode in modes:
         one = token_counts(lines, mode, keys).withColumn("mode", F.lit(mode))
         counts = one if counts is None else counts.unionByName(one)
-    listed = lines.select(*keys).distinct()
     names = F.array(*[F.lit(m) for m in modes])
-    listed = listed.withColumn("mode", F.explode(names))
-    pairs = pair_distances(counts, listed, [*group, "mode"], min_count=min_count)
+    listed = lines.select(*keys).distinct().withColumn("mode", F.explode(names))
+    pairs = pair_distances(anchor(counts), listed, [*group, "mode"], min_count=min_count)
     return long_distances(pairs, METRICS)
 
 
@@ -46,7 +50,7 @@ def observed_report(
     distances: DataFrame, keys: Sequence[str], actors: DataFrame, *, marker: str = "GPT"
 ) -> DataFrame:
     """Statistics rows for the observed labels."""
-    complete = drop_incomplete(distances, keys)
+    complete = drop_incomplete(anchor(distances), keys)
     return group_report(complete, true_assignment(actors, marker), keys)
 
 
@@ -67,7 +71,7 @@ def null_report(
         assignments = indexed_assignments(spark, names, marker=marker)
     else:
         assignments = sampled_assignments(spark, names, sample, marker=marker, seed=seed)
-    complete = drop_incomplete(distances, keys)
+    complete = drop_incomplete(anchor(distances), keys)
     return group_report(
         complete, assignments, keys, n_actors=len(names), p_values=p_values
     )
