@@ -235,6 +235,7 @@ def fit_linear(train: DataFrame, candidate: Candidate, n_train: int):
     Penalties are translated: C weighs the summed loss, so its counterpart per row is
     1 / (C * n); alpha of the stochastic learners is already per row.
     """
+    few = 1e-3 if candidate.model.startswith("sgd") else 1e-4  # fixed values: tolerances
     p = candidate.params
     common = {"featuresCol": "features", "labelCol": "target"}
     if candidate.model == "rf":
@@ -244,15 +245,18 @@ def fit_linear(train: DataFrame, candidate: Candidate, n_train: int):
     if candidate.model == "ridge":
         signed = train.withColumn("target", 2 * F.col("target") - 1)
         return LinearRegression(
-            **common, regParam=p.get("alpha", 1.0) / n_train, standardization=False
+            **common, regParam=p.get("alpha", 1.0) / n_train, standardization=False,
+            solver="l-bfgs", tol=few,
         ).fit(signed)
     strength = p["alpha"] if candidate.model.startswith("sgd") else 1.0 / (p.get("C", 1.0) * n_train)
     common["weightCol"] = "weight"
     if candidate.model in ("svm", "sgd_hinge"):
-        return LinearSVC(**common, regParam=strength, standardization=False, maxIter=100).fit(train)
+        return LinearSVC(
+            **common, regParam=strength, standardization=False, maxIter=100, tol=few
+        ).fit(train)
     if candidate.model in ("logreg", "sgd_log"):
         return LogisticRegression(
-            **common, regParam=strength, standardization=False, maxIter=100
+            **common, regParam=strength, standardization=False, maxIter=100, tol=few
         ).fit(train)
     raise ValueError(f"unknown model {candidate.model!r}; known: {LINEAR}")
 
