@@ -218,6 +218,7 @@ def balanced(split: DataFrame) -> DataFrame:
     return split.join(F.broadcast(weights), "label", "left").na.fill(1.0, ["weight"])
 
 
+ROWS_PER_TASK = 5_000
 LINEAR = ("svm", "logreg", "sgd_hinge", "sgd_log", "ridge", "rf")
 
 
@@ -264,10 +265,16 @@ def fit_linear(train: DataFrame, candidate: Candidate, n_train: int):
 def predict_linear(
     split: DataFrame, candidate: Candidate, keep: Sequence[str] = ("example_id",)
 ) -> DataFrame:
-    """Fit on the training part and predict all parts: (keep.., part, label, y_pred)."""
+    """Fit on the training part and predict all parts: (keep.., part, label, y_pred).
+
+    Every optimiser step is a job, so small training sets go to few tasks.
+    """
     ready = balanced(split).withColumn("target", (F.col("label") == "human").cast("double"))
     train = ready.where(F.col("part") == "train")
-    model = fit_linear(train, candidate, max(1, train.count()))
+    n_train = max(1, train.count())
+    held = train.coalesce(math.ceil(n_train / ROWS_PER_TASK)).persist()
+    model = fit_linear(held, candidate, n_train)
+    held.unpersist()
     out = model.transform(ready.drop("weight"))
     positive = F.col("prediction") > (0.0 if candidate.model == "ridge" else 0.5)
     return out.select(
