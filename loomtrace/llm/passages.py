@@ -9,7 +9,8 @@ bucket sorts the windows it gets; each but the earliest of equal windows is a re
 Shuffled: about three words for each window that is the first of its kind in its batch.
 Windows that repeat an earlier one of the same batch are settled there and never
 travel, so a window that a third of all documents share reaches its bucket once per
-batch. Then the documents meet the spans found in them, by id.
+batch. Settled spans go along with the strings, so the texts are cut up once. Then the
+documents meet the spans found in them, by id.
 
 The order of starts is (doc_id, hash of the text, position); null ids come first. Rows
 equal in id and text are one document stated twice: neither removes words from the
@@ -24,12 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtrace.llm import words as W
-from loomtrace.session import anchor
 
 WINDOW, MINIMISER = 20, 4
 #: Text bytes that one bucket stands for; about three times as many reach it.
@@ -73,15 +74,15 @@ def _ranks(ids: np.ndarray, mark: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _found(bucket: int, ids: np.ndarray, mark: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    """Spans of words to remove, one row per document, as a batch of the first stage."""
+def _found(buckets: int, ids: np.ndarray, mark: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Spans of words to remove, one row per document; any bucket passes them on."""
     order = np.lexsort((begin, doc))
     doc, spans = doc[order], np.stack([begin[order], end[order]], axis=1).astype(np.int32)
     at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else doc
     cut = [x.tobytes() for x in np.split(spans, at[1:])] if len(doc) else []
-    n = len(cut)
+    own = doc[at]
     return pa.record_batch(
-        [pa.array(np.full(n, bucket, np.int64)), W.ids_back(ids[doc[at]]), pa.array(mark[doc[at]]), pa.array(cut, pa.binary())],
+        [pa.array(mark[own] % buckets), W.ids_back(ids[own]), pa.array(mark[own]), pa.array(cut, pa.binary())],
         ["bucket", "doc_id", "mark", "load"],
     )
 
@@ -89,8 +90,6 @@ def _found(bucket: int, ids: np.ndarray, mark: np.ndarray, doc: np.ndarray, begi
 _PARTS = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("bucket", "doc_id", "mark")] + [T.StructField("load", T.BinaryType())]
 )
-_SETTLED = -1
-
 
 def _send(buckets: int, k: int, m: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +109,7 @@ def _send(buckets: int, k: int, m: int):
             settled = _earlier(both, rank[doc], place)
             begin, end = _runs_of(settled, doc, at)
             if len(begin):
-                yield _found(_SETTLED, ids, mark, doc[begin], place[begin], place[end - 1] + k)
+                yield _found(buckets, ids, mark, doc[begin], place[begin], place[end - 1] + k)
             low = _minimisers(W.window_hashes(key, m), at, k - m + 1)
             go = np.flatnonzero(~settled)
             if not len(go):
@@ -146,6 +145,10 @@ def _runs_of(flags: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.nda
 
 def _settle(k: int):
     def settle(table: pa.Table) -> pa.Table:
+        passed = table.filter(pc.is_valid(table.column("mark"))).select(["doc_id", "mark", "load"])
+        table = table.filter(pc.is_null(table.column("mark")))
+        if not table.num_rows:
+            return passed
         ids, marks, docs, places, data, bounds = [], [], [], [], [], [np.zeros(1, np.int64)]
         n_docs = n_bytes = 0
         for load in table.column("load").to_pylist():
@@ -167,8 +170,8 @@ def _settle(k: int):
         both = [W.window_hashes(W.hashes(texts.data, words.start, words.end, seed), k)[at] for seed in (0, 1)]
         again = _earlier(both, _ranks(ids, marks)[doc], place)
         begin, end = _runs_of(again, words.text[at], at)
-        out = _found(0, ids, marks, doc[begin], place[begin], place[end - 1] + k)
-        return pa.Table.from_batches([out]).select(["doc_id", "mark", "load"])
+        out = _found(1, ids, marks, doc[begin], place[begin], place[end - 1] + k)
+        return pa.concat_tables([passed, pa.Table.from_batches([out]).select(["doc_id", "mark", "load"])])
 
     return settle
 
@@ -181,16 +184,9 @@ def repeated_spans(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, bucket_
     """
     source = _identity(docs)
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = anchor(source.mapInArrow(_send(max(1, -(-size // bucket_bytes)), k, m), _PARTS))
-    spans = T.StructType(_PARTS.fields[1:])
-    met = parts.filter(F.col("bucket") != _SETTLED).groupBy("bucket").applyInArrow(_settle(k), spans)
-    return (
-        parts.filter(F.col("bucket") == _SETTLED)
-        .select("doc_id", "mark", "load")
-        .unionByName(met)
-        .groupBy("doc_id", "mark")
-        .agg(F.collect_list("load").alias("spans"))
-    )
+    parts = source.mapInArrow(_send(max(1, -(-size // bucket_bytes)), k, m), _PARTS)
+    met = parts.groupBy("bucket").applyInArrow(_settle(k), T.StructType(_PARTS.fields[1:]))
+    return met.groupBy("doc_id", "mark").agg(F.collect_list("load").alias("spans"))
 
 
 RESULT = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]

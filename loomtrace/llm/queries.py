@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtrace.llm import passages, quality
+from loomtrace.llm import jaccard, katz, lines, mixing, passages, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,15 +33,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH d AS (
         SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
     ),
-    p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20),
-    w AS (
-        SELECT doc_id, i,
-               row_number() OVER (PARTITION BY array_to_string(ws[i : i + 19], ' ') ORDER BY doc_id, i) AS nth
-        FROM p
+    every AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+    p AS (
+        SELECT doc_id, i, n,
+               string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS run
+        FROM every
     ),
+    w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth FROM p WHERE i <= n - 19),
     gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM w WHERE nth > 1),
     gone_of AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
-    every AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
     kept AS (
         SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.i) AS text
         FROM every e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i
@@ -62,3 +62,85 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and content verdict of all documents."""
     docs = _documents(spark, sf_dir)
     return quality.verdicts(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@query(
+    "op9_line_dedup",
+    r"""
+    WITH l AS (
+        SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+        FROM documents
+    ),
+    k AS (
+        SELECT doc_id, i, line,
+               translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM l
+    ),
+    common AS (
+        SELECT key, max(doc_id) AS stays FROM k WHERE length(key) >= 40
+        GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+    ),
+    marked AS (
+        SELECT k.*, c.key IS NOT NULL AND c.stays <> k.doc_id AS gone FROM k LEFT JOIN common c ON c.key = k.key
+    )
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id
+    """,
+)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines left of all documents when lines common to five documents stay in one."""
+    return lines.digests(_documents(spark, sf_dir))
+
+
+@query(
+    "op8_ngram_jaccard_join",
+    r"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+        FROM documents
+    ),
+    words AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+    runs AS (
+        SELECT doc_id, n, i,
+               string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s
+        FROM words
+    ),
+    sets AS (SELECT DISTINCT doc_id, s FROM runs WHERE i <= greatest(n - 4, 1)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+    shared AS (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+        FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+    ),
+    links AS (
+        SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+        WHERE 100 * s.n >= 75 * (x.n + y.n - s.n)
+    ),
+    reach AS (
+        SELECT a AS doc_id, b AS other FROM links
+        UNION
+        SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+    ),
+    least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.other, d.doc_id)) AS component_id
+    FROM d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN least l ON l.doc_id = d.doc_id
+    """,
+)
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under 75 % shingle similarity."""
+    return jaccard.link_components(_documents(spark, sf_dir))
+
+
+@query("op6_lm_scoring")
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add-one and Katz log10 probabilities of all documents."""
+    return katz.scores(_documents(spark, sf_dir))
+
+
+@query("op10_source_mixing")
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document."""
+    return mixing.mixture(_documents(spark, sf_dir))

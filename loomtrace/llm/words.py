@@ -195,9 +195,10 @@ def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Texts:
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Some arrays as one compressed value."""
+    """Some arrays as one compressed value; bytes of equal weight stand together."""
     head = np.array([[ord(a.dtype.char), len(a)] for a in arrays], np.int64)
-    body = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    flat = (np.ascontiguousarray(a) for a in arrays)
+    body = b"".join(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in flat)
     small = pa.compress(body, codec="zstd", asbytes=True)
     return np.array([len(arrays), len(body)], np.int64).tobytes() + head.tobytes() + small
 
@@ -209,7 +210,8 @@ def unpacked(value: bytes) -> list[np.ndarray]:
     out, at = [], 0
     for kind, length in head:
         dtype = np.dtype(chr(kind))
-        out.append(np.frombuffer(body, dtype, length, at))
+        planes = np.frombuffer(body, np.uint8, dtype.itemsize * length, at).reshape(dtype.itemsize, length)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(dtype))
         at += dtype.itemsize * length
     return out
 
