@@ -33,7 +33,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.llm import words as W
@@ -82,13 +82,13 @@ def _nodes(token: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray:
     return np.where(size > 0, np.maximum(node, 1), 0).view(np.int64)
 
 
-_FIRST = "doc_id long, node long, proof long, n_shingles long, slice int, part int, cells binary"
+_FIRST = "doc_id long, mark long, node long, proof long, n_shingles long, slice int, part int, cells binary"
 
 
 def _describe(seed: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
-        names = ["doc_id", "node", "proof", "n_shingles", "slice", "part", "cells"]
+        names = ["doc_id", "mark", "node", "proof", "n_shingles", "slice", "part", "cells"]
         for batch in W.slices(batches, "text"):
             token, first = shingle_sets(batch.column("text"), seed)
             cells += np.bincount((token % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
@@ -96,6 +96,7 @@ def _describe(seed: int):
             yield pa.record_batch(
                 [
                     batch.column("doc_id").cast(pa.int64()),
+                    batch.column("mark"),
                     pa.array(_nodes(token, first, seed)),
                     pa.array(_nodes(token, first, seed + 1)),
                     pa.array(np.diff(first)),
@@ -109,7 +110,7 @@ def _describe(seed: int):
         part = TaskContext.get().partitionId() % 1024
         none = pa.nulls(n, pa.int64())
         loads = pa.array([W.packed(x) for x in np.split(cells, n)], pa.binary())
-        yield pa.record_batch([none, none, none, none, pa.array(np.arange(n, dtype=np.int32)), pa.array([part] * n, pa.int32()), loads], names)
+        yield pa.record_batch([none] * 5 + [pa.array(np.arange(n, dtype=np.int32)), pa.array([part] * n, pa.int32()), loads], names)
 
     return describe
 
@@ -264,18 +265,18 @@ def _linked(pairs: DataFrame, texts: DataFrame, seed: int) -> DataFrame:
 def _described(docs: DataFrame) -> tuple[DataFrame, int]:
     """The first pass, with hashes under which different sets have different nodes."""
     for seed in count(0, 2):
-        first = anchor(docs.select("doc_id", "text").mapInArrow(_describe(seed), _FIRST))
+        first = anchor(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(_describe(seed), _FIRST))
         sets = first.filter("slice IS NULL").groupBy("node").agg(F.min("proof").alias("low"), F.max("proof").alias("high"))
         if not sets.filter("low <> high").take(1):
             return first, seed
 
 
-def link_components(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def labelled(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, mark (hash of the text), n_shingles and component (null: empty set) of every row."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     first, seed = _described(docs)
-    described = first.filter("slice IS NULL").select("doc_id", "node", "n_shingles")
+    described = first.filter("slice IS NULL").select("doc_id", "mark", "node", "n_shingles")
     excess = spark.sparkContext.broadcast(_frequencies(first))
     posted = docs.select("doc_id", "text").mapInArrow(_send(seed, max(1, -(-size // bucket_bytes)), excess), "bucket long, load binary")
     lists = posted.groupBy("bucket").applyInArrow(_listed, _LISTS)
@@ -308,6 +309,31 @@ def link_components(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFr
     if more.take(1):
         found = components(links.unionByName(more))
 
-    labelled = described.join(found, "node", "left").withColumn("component", F.when(F.col("n_shingles") > 0, label))
-    least = labelled.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return labelled.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    of = F.when(F.col("n_shingles") > 0, label).alias("component")
+    return described.join(found, "node", "left").select("doc_id", "mark", "n_shingles", of)
+
+
+def link_components(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    rows = anchor(labelled(docs, bucket_bytes))
+    least = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
+    component_id = F.when(F.col("component").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
+    return rows.join(least, "component", "left").select("doc_id", "n_shingles", component_id.alias("component_id"))
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are first of their component, one row of each.
+
+    Rows with empty sets are linked with nothing and all stay. First is the smallest id;
+    of rows that repeat it, the one of the smallest hash of its text.
+    """
+    rows = anchor(labelled(docs))
+    best = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("best")).select("best.doc_id", "best.mark")
+    times = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("_of"), F.max("n_shingles").alias("n"))
+    same = best["doc_id"].eqNullSafe(times["doc_id"]) & best["mark"].eqNullSafe(times["mark"])
+    stays = times.join(best, same, "left_semi").unionByName(times.filter("n = 0").withColumn("_of", F.lit(1).cast("long")))
+    stays = stays.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "_of")
+    met = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_mark")))
+    alike = Window.partitionBy("_id", "_mark").orderBy("_of")
+    more = met.filter("_of > 1").withColumn("_nth", F.row_number().over(alike)).filter("_nth = 1")
+    return met.filter("_of = 1").select(*docs.columns).unionByName(more.select(*docs.columns))

@@ -32,7 +32,9 @@ from pyspark.sql import types as T
 
 from loomtrace.llm import words as W
 
-WINDOW, MINIMISER = 20, 4
+WINDOW, MINIMISER = 20, 3
+#: Effort of compressing the packed strings, which are most of what is shuffled.
+LEVEL = 6
 #: Text bytes that one bucket stands for; about three times as many reach it.
 BUCKET_BYTES = 3 << 20
 
@@ -126,7 +128,7 @@ def _send(buckets: int, k: int, m: int):
             for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True):
                 own, index = np.unique(doc[head[a:b]], return_inverse=True)
                 strings = W.gather(texts.data, words.start[at[head[a:b]]], words.end[at[tail[a:b]] + k - 1])
-                loads.append(W.packed(ids[own], mark[own], index.astype(np.int32), place[head[a:b]].astype(np.int32), strings.bounds.astype(np.int32), strings.data))
+                loads.append(W.packed(ids[own], mark[own], index.astype(np.int32), place[head[a:b]].astype(np.int32), strings.bounds.astype(np.int32), strings.data, level=LEVEL))
             nothing = pa.nulls(len(cut), pa.int64())
             yield pa.record_batch([pa.array(bucket[cut]), nothing, nothing, pa.array(loads, pa.binary())], ["bucket", "doc_id", "mark", "load"])
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomtrace.llm import jaccard, katz, lines, mixing, passages, quality
+from loomtrace.llm import exact, jaccard, katz, lines, mixing, passages, pieces, quality, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,3 +145,48 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     return mixing.mixture(_documents(spark, sf_dir))
+
+
+@query("op1_sharding")
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of equal counts, equal texts together."""
+    return sharding.document_shards(_documents(spark, sf_dir))
+
+
+@query(
+    "op2_exact_dedup",
+    """
+    WITH d AS (
+        SELECT doc_id,
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+        FROM documents
+    )
+    SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+           doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+    FROM d
+    """,
+)
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays for each group of equal texts, beside every document."""
+    return exact.groups(_documents(spark, sf_dir))
+
+
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and hash of the piece ids of every document, and whether they decode to its text."""
+    model = pieces.load_model()
+    docs = _documents(spark, sf_dir).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    rows = pieces.decode(pieces.encode(docs, model), model)
+    n_tokens = F.coalesce(F.size("ids"), F.lit(0)).cast("long")
+    return rows.select(
+        "doc_id",
+        F.when(F.col("ids").isNull(), 0).otherwise(n_tokens).alias("n_tokens"),
+        F.xxhash64("ids").alias("ids_hash"),
+        (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"),
+    )
+
+
+@query("op4_secret_scan")
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates of all documents, with the forest's score and verdict."""
+    return secrets.scan(_documents(spark, sf_dir))

@@ -194,12 +194,12 @@ def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Texts:
     return Texts(data[np.repeat(start - bounds[:-1], size) + np.arange(bounds[-1])], bounds)
 
 
-def packed(*arrays: np.ndarray) -> bytes:
+def packed(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Some arrays as one compressed value; bytes of equal weight stand together."""
     head = np.array([[ord(a.dtype.char), len(a)] for a in arrays], np.int64)
     flat = (np.ascontiguousarray(a) for a in arrays)
     body = b"".join(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in flat)
-    small = pa.compress(body, codec="zstd", asbytes=True)
+    small = pa.Codec("zstd", compression_level=level).compress(body, asbytes=True)
     return np.array([len(arrays), len(body)], np.int64).tobytes() + head.tobytes() + small
 
 
