@@ -5,16 +5,21 @@ All sets are put in one global order, tokens thought frequent last. Two sets of
 75 % similarity share at least l tokens in their prefixes of size n - ceil(0.75 n) + l,
 for any l. Each document picks its l by estimated cost: a longer prefix touches more
 postings, but leaves at most (postings hit) / l candidates to verify. A pair needs the
-smaller l of its two documents.
+smaller l of its two documents, so a document with fewer shared prefix tokens than any
+partner asks for drops out before anything is verified.
 
 Frequencies come from a sketch of all shingles, of fixed size; they steer only the order
 and l, so the links found do not depend on them. Equal sets are one node from the start.
 
-Work on a group of near copies grows with its members, not with their pairs: documents
-that share prefix tokens form lists, every member is verified against the first of its
-list, and only lists that are not then in one component go on, pairs of different
-components only. No link between components can be missed, and links inside one cannot
-change it.
+Work on a group of near copies grows with its members, not with their pairs. The sets
+that share a prefix token form a list. Each is verified against the lead of its list, the
+one with most shared tokens. Two sets x and y linked to the lead c are in one component.
+Else say x is not linked to c. If x and y are linked, then either they share tokens
+outside c, at least as many as |x & y| needs beyond min(|x & c|, |y & c|), or that bound
+already reaches the need, which holds only for y smaller than c. So the tokens outside c
+get prefixes and lists in turn, and for the second case partners are looked up by size.
+The new lists go through the same step, and of what is still open after it all pairs
+between components are verified. Pairs inside a component cannot change it.
 
 Shuffled: prefix postings packed per batch and bucket, lists of shared tokens, and the
 texts of documents that have a candidate. Sets are known by 64-bit hashes of their
@@ -132,54 +137,69 @@ def _frequencies(first: DataFrame) -> np.ndarray:
     return np.maximum(total - usual - 4 * np.sqrt(usual) - 1, 0).astype(np.float32)
 
 
-def _send(seed: int, buckets: int, excess):
-    def prefixes(token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Prefix tokens of each set, the set of each, and the matches each set needs."""
-        n = np.diff(first)
-        extra = excess.value[(token % np.uint64(CELLS)).astype(np.int64)]
-        text = np.repeat(np.arange(len(n)), n)
-        order = np.argsort(text * 64 + np.log2(1 + extra).astype(np.int64), kind="stable")
-        token, extra = token[order], extra[order]
-        hits = np.concatenate([[0.0], np.cumsum(extra, dtype=np.float64)])
-        least = -(-SHARE * n // OF)
-        base = n - least
-        matches, best = np.ones(len(n), np.int64), np.full(len(n), np.inf)
-        for m in range(1, MOST_MATCHES + 1):
-            fits = m <= least
-            hit = hits[first[:-1] + np.where(fits, base + m, 0)] - hits[first[:-1]]
-            cost = np.where(fits, hit * (1 + VERIFY_COST / m), np.inf)
-            better = cost < best
-            matches[better], best[better] = m, cost[better]
-        size = np.where(n > 0, base + matches, 0)
-        cut = np.concatenate([[0], np.cumsum(size)])
-        take = np.repeat(first[:-1] - cut[:-1], size) + np.arange(cut[-1])
-        return token[take], np.repeat(np.arange(len(n)), size), matches
+def _ordered(token: np.ndarray, text: np.ndarray, excess: np.ndarray) -> np.ndarray:
+    """The global order of tokens in each text: thought rare first, then by hash.
+
+    The tokens must come sorted by text and hash.
+    """
+    extra = excess[(token % np.uint64(CELLS)).astype(np.int64)]
+    return np.argsort(text * 64 + np.log2(1 + extra).astype(np.int64), kind="stable")
+
+
+def _prefixes(token: np.ndarray, first: np.ndarray, excess: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix tokens of each set, the set of each, and the matches each set needs."""
+    n = np.diff(first)
+    text = np.repeat(np.arange(len(n)), n)
+    token = token[_ordered(token, text, excess)]
+    extra = excess[(token % np.uint64(CELLS)).astype(np.int64)]
+    hits = np.concatenate([[0.0], np.cumsum(1 + extra, dtype=np.float64)])
+    least = -(-SHARE * n // OF)
+    base = n - least
+    matches, best = np.ones(len(n), np.int64), np.full(len(n), np.inf)
+    for m in range(1, MOST_MATCHES + 1):
+        fits = m <= least
+        hit = hits[first[:-1] + np.where(fits, base + m, 0)] - hits[first[:-1]]
+        cost = np.where(fits, hit * (1 + VERIFY_COST / m), np.inf)
+        better = cost < best
+        matches[better], best[better] = m, cost[better]
+    size = np.where(n > 0, base + matches, 0)
+    cut = np.concatenate([[0], np.cumsum(size)])
+    take = np.repeat(first[:-1] - cut[:-1], size) + np.arange(cut[-1])
+    return token[take], np.repeat(np.arange(len(n)), size), matches
+
+
+_POSTED = "bucket long, load binary"
+
+
+def _posted(token: np.ndarray, own: np.ndarray, node: np.ndarray, size: np.ndarray, need: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Postings packed by bucket; own is the place of each token's set in the other arrays."""
+    token = token >> np.uint64(16)
+    bucket = (token % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((token, bucket))
+    token, own, bucket = token[order], own[order], bucket[order]
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
+    loads = []
+    for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True) if len(cut) else ():
+        mine, index = np.unique(own[a:b], return_inverse=True)
+        steps = np.diff(token[a:b], prepend=np.uint64(0))
+        loads.append(W.packed(node[mine], size[mine].astype(np.int64), need[mine].astype(np.int8), index.astype(np.int32), steps))
+    return pa.record_batch([pa.array(bucket[cut]), pa.array(loads, pa.binary())], ["bucket", "load"])
+
 
+def _send(seed: int, buckets: int, excess):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
             token, first = shingle_sets(batch.column("text"), seed)
             node, size = _nodes(token, first, seed), np.diff(first)
-            token, text, matches = prefixes(token, first)
+            token, text, matches = _prefixes(token, first, excess.value)
             _, once = np.unique(node, return_index=True)
             mine = np.isin(text, once)
-            token, text = token[mine] >> np.uint64(16), text[mine]
-            bucket = (token % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((token, bucket))
-            token, text, bucket = token[order], text[order], bucket[order]
-            if not len(bucket):
-                continue
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            loads = []
-            for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True):
-                own, index = np.unique(text[a:b], return_inverse=True)
-                steps = np.diff(token[a:b], prepend=np.uint64(0))
-                loads.append(W.packed(node[own], size[own].astype(np.int64), matches[own].astype(np.int8), index.astype(np.int32), steps))
-            yield pa.record_batch([pa.array(bucket[cut]), pa.array(loads, pa.binary())], ["bucket", "load"])
+            yield _posted(token[mine], text[mine], node, size, matches, buckets)
 
     return send
 
 
-_LISTS = "list long, lead long, lead_size long, node long, size long, need int, times long"
+_LISTS = "list long, node long, size long, need int, times long"
 
 
 def _listed(table: pa.Table) -> pa.Table:
@@ -214,9 +234,8 @@ def _listed(table: pa.Table) -> pa.Table:
     head, long = head[once], long[once]
     cut = np.concatenate([[0], np.cumsum(long)])
     take = place[np.repeat(head - cut[:-1], long) + np.arange(cut[-1])]
-    lead = np.repeat(place[head], long)
-    columns = [np.repeat(label.view(np.int64), long), node[lead], size[lead], node[take], size[take], need[take], np.repeat(times, long)]
-    return pa.table([pa.array(c) for c in columns], ["list", "lead", "lead_size", "node", "size", "need", "times"])
+    columns = [np.repeat(label.view(np.int64), long), node[take], size[take], need[take], np.repeat(times, long)]
+    return pa.table([pa.array(c) for c in columns], ["list", "node", "size", "need", "times"])
 
 
 def _sizes_fit(a: str, b: str):
@@ -238,28 +257,112 @@ def _node_texts(docs: DataFrame, described: DataFrame, nodes: DataFrame, seed: i
     return met.mapInArrow(small, "node long, text binary").dropDuplicates(["node"])
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, seed: int) -> DataFrame:
-    """(a, b, linked) for pairs of nodes, by their whole sets."""
+_TRIED = "a long, b long, a_size long, b_size long, shared long, linked boolean, rest binary"
+
+
+def _tried(pairs: DataFrame, texts: DataFrame, seed: int, excess=None) -> DataFrame:
+    """Pairs of nodes by their whole sets: sizes, shared tokens, and whether linked.
+
+    With excess also rest: the prefix of the tokens of b outside a.
+    """
     a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
 
+    def outside(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """With s tokens in common, another set that is linked to y shares the rest of
+        ceil(0.75 |y|) outside x, one token at least."""
+        left = y[~np.isin(y, x, assume_unique=True)]
+        wanted = max(1, -(-SHARE * len(y) // OF) - (len(y) - len(left)))
+        left = left[_ordered(left, np.zeros(len(left), np.int64), excess.value)]
+        return left[: max(0, len(left) - wanted + 1)]
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slices(batches, "a_text", 1 << 20):
+        for batch in W.slices(batches, "b_text", 1 << 20):
             ends = [batch.column(x).to_numpy() for x in "ab"]
             text = dict(zip(np.concatenate(ends).tolist(), (*batch.column("a_text").to_pylist(), *batch.column("b_text").to_pylist()), strict=True))
             place = {node: i for i, node in enumerate(text)}
             token, first = shingle_sets(pa.array([W.unpacked(x)[0].tobytes() for x in text.values()], pa.large_binary()), seed)
             sets = [token[i:j] for i, j in zip(first[:-1], first[1:], strict=True)]
-            linked = np.zeros(batch.num_rows, bool)
+            shared, rest = np.zeros(batch.num_rows, np.int64), []
+            sizes = np.zeros((2, batch.num_rows), np.int64)
             for i, (x, y) in enumerate(zip(*(e.tolist() for e in ends), strict=True)):
                 x, y = sets[place[x]], sets[place[y]]
                 both = np.concatenate([x, y])
                 both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                linked[i] = OF * shared >= SHARE * (len(both) - shared)
-            yield pa.record_batch([*map(pa.array, ends), pa.array(linked)], ["a", "b", "linked"])
+                shared[i], sizes[:, i] = (both[1:] == both[:-1]).sum(), (len(x), len(y))
+                rest.append(None if excess is None else W.packed(outside(x, y)))
+            linked = OF * shared >= SHARE * (sizes.sum(0) - shared)
+            columns = [*ends, *sizes, shared, linked]
+            yield pa.record_batch([*map(pa.array, columns), pa.array(rest, pa.binary())], [c.split()[0] for c in _TRIED.split(", ")])
+
+    met = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text")
+    return met.mapInArrow(verify, _TRIED)
+
+
+def _again(buckets: int):
+    """Postings of the tokens outside the lead, in lists of the sets tried with one lead."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.slices(batches, "rest", 1 << 20):
+            rest = [W.unpacked(x)[0] for x in batch.column("rest").to_pylist()]
+            own = np.repeat(np.arange(len(rest)), [len(x) for x in rest])
+            lead = batch.column("a").to_numpy().view(np.uint64)
+            token = W.mixed(np.concatenate([np.zeros(0, np.uint64), *rest]) ^ W.mixed(lead[own]))
+            node, size = batch.column("b").to_numpy(), batch.column("b_size").to_numpy()
+            yield _posted(token, own, node, size, np.ones(len(size), np.int8), buckets)
+
+    return send
+
+
+def _stars(lists: DataFrame) -> DataFrame:
+    """(a, b): the lead of each list with every other set of it.
+
+    A set stays if it has as many shared tokens as some pair of the list needs.
+    """
+    degree = lists.groupBy("node").agg(F.sum("times").alias("degree"))
+    least = lists.groupBy("list").agg(F.min("need").alias("least"))
+    kept = lists.join(degree, "node").join(least, "list").filter("degree >= least")
+    lead = kept.groupBy("list").agg(F.max_by("node", F.struct("degree", "node")).alias("a"))
+    pairs = kept.select("list", F.col("node").alias("b")).join(lead, "list")
+    return pairs.filter("a <> b").select("a", "b").distinct()
+
+
+def _open(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the lists that are not in one component, with their component as of."""
+    of = F.coalesce("component", "node").alias("of")
+    rows = lists.join(found, "node", "left").select(*lists.columns, of)
+    apart = rows.groupBy("list").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low <> high")
+    return rows.join(apart.select("list"), "list")
+
 
-    met = pairs.select("a", "b").join(a, "a").join(b, "b")
-    return met.mapInArrow(verify, "a long, b long, linked boolean")
+def _pairs_between(rows: DataFrame) -> DataFrame:
+    """All pairs of an open list between components, from the smaller components' side."""
+    held = rows.groupBy("list", "of").agg(F.count("*").alias("n"))
+    most = held.groupBy("list").agg(F.max_by("of", F.struct("n", "of")).alias("main"))
+    rows = rows.join(most, "list")
+    one = rows.filter("of <> main").select("list", *(F.col(c).alias(f"a_{c}") for c in ("node", "size", "of")))
+    two = rows.select("list", *(F.col(c).alias(f"b_{c}") for c in ("node", "size", "of")), (F.col("of") == F.col("main")).alias("in_main"))
+    met = one.join(two, "list").filter((F.col("a_of") != F.col("b_of")) & (F.col("in_main") | (F.col("a_node") < F.col("b_node"))) & _sizes_fit("a_size", "b_size"))
+    return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
+def _pairs_by_size(tried: DataFrame) -> DataFrame:
+    """Pairs tried with one lead that may be linked by their tokens in the lead alone."""
+    sides = tried.select("a", F.col("b").alias("node"), F.col("b_size").alias("size"), "shared", "linked")
+    # Of a pair x, y the shared tokens must reach 0.75 / 1.75 of both sizes.
+    reach = F.floor(F.col("shared") * (SHARE + OF) / SHARE).cast("long") - F.col("size")
+    far = sides.filter(~F.col("linked")).withColumn("reach", reach).filter(F.col("reach") * OF >= F.col("size") * SHARE)
+    sizes = sides.select("a", F.col("size").alias("y_size")).distinct()
+    asked = far.join(sizes, "a").filter((F.col("y_size") <= F.col("reach")) & (F.col("y_size") * OF >= F.col("size") * SHARE))
+    asked = asked.select("a", F.col("node").alias("x"), F.col("size").alias("x_size"), "y_size")
+    others = sides.select("a", F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("shared").alias("y_shared"))
+    met = asked.join(others, ["a", "y_size"]).filter((F.col("x") != F.col("y")) & (F.col("y_shared") * (SHARE + OF) >= SHARE * (F.col("x_size") + F.col("y_size"))))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _lists(posted: DataFrame) -> DataFrame:
+    """(list, node, size, need, times) of the sets that share tokens, pinned."""
+    lists = posted.groupBy("bucket").applyInArrow(_listed, _LISTS)
+    return anchor(lists.groupBy("list", "node").agg(F.first("size").alias("size"), F.first("need").alias("need"), F.sum("times").alias("times")))
 
 
 def _described(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -278,37 +381,32 @@ def labelled(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     first, seed = _described(docs)
     described = first.filter("slice IS NULL").select("doc_id", "mark", "node", "n_shingles")
     excess = spark.sparkContext.broadcast(_frequencies(first))
-    posted = docs.select("doc_id", "text").mapInArrow(_send(seed, max(1, -(-size // bucket_bytes)), excess), "bucket long, load binary")
-    lists = posted.groupBy("bucket").applyInArrow(_listed, _LISTS)
-    lists = anchor(
-        lists.groupBy("list", "node").agg(*(F.first(c).alias(c) for c in ("lead", "lead_size", "size", "need")), F.sum("times").alias("times"))
-    )
+    buckets = max(1, -(-size // bucket_bytes))
+    posted = docs.select("doc_id", "text").mapInArrow(_send(seed, buckets, excess), _POSTED)
+    lists = _lists(posted)
     texts = anchor(_node_texts(docs, described, lists.select("node").distinct(), seed))
 
-    stars = lists.filter(F.col("node") != F.col("lead")).filter(_sizes_fit("size", "lead_size"))
-    tried = anchor(_linked(stars.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), texts, seed))
+    tried = anchor(_tried(_stars(lists), texts, seed, excess))
     links = tried.filter("linked").select("a", "b")
     found = components(links)
 
-    label = F.coalesce("component", "node")
-    rows = lists.join(found, "node", "left").select("list", "node", "size", "need", "times", label.alias("of"))
-    held = rows.groupBy("list", "of").agg(F.count("*").alias("n"))
-    most = held.groupBy("list").agg(F.max_by("of", F.struct("n", "of")).alias("largest"), F.count("*").alias("n")).filter("n > 1")
-    open_rows = anchor(rows.join(most.select("list", "largest"), "list"))
-    one = open_rows.filter(F.col("of") != F.col("largest")).select("list", *(F.col(c).alias(f"a_{c}") for c in ("node", "size", "need", "of")), "times")
-    two = open_rows.select("list", *(F.col(c).alias(f"b_{c}") for c in ("node", "size", "need", "of")), (F.col("of") == F.col("largest")).alias("_main"))
-    pairs = one.join(two, "list").filter((F.col("a_of") != F.col("b_of")) & (F.col("_main") | (F.col("a_node") < F.col("b_node"))) & _sizes_fit("a_size", "b_size"))
-    pairs = (
-        pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"), F.least("a_need", "b_need").alias("need"), "times")
-        .groupBy("a", "b")
-        .agg(F.sum("times").alias("times"), F.first("need").alias("need"))
-        .filter("times >= need")
-        .join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    more = anchor(_linked(pairs, texts, seed).filter("linked").select("a", "b"))
-    if more.take(1):
-        found = components(links.unionByName(more))
+    far = tried.groupBy("a").agg(F.count("*").alias("n"), F.bool_and("linked").alias("all")).filter("n > 1 AND NOT all")
+    apart = anchor(tried.join(far.select("a"), "a"))
+    again = _lists(apart.select("a", "b", "b_size", "rest").mapInArrow(_again(buckets), _POSTED))
+    again = anchor(_open(again, found))
+    more = _stars(again.drop("of")).unionByName(_pairs_by_size(apart))
+    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
+    second = anchor(_tried(more, texts, seed))
+    links = links.unionByName(second.filter("linked").select("a", "b"))
+    found = components(links)
 
+    last = _pairs_between(_open(again.drop("of"), found)).join(known.unionByName(second.select("a", "b")), ["a", "b"], "left_anti")
+    third = anchor(_tried(last, texts, seed).filter("linked").select("a", "b"))
+    if third.take(1):
+        found = components(links.unionByName(third))
+
+    label = F.coalesce("component", "node")
     of = F.when(F.col("n_shingles") > 0, label).alias("component")
     return described.join(found, "node", "left").select("doc_id", "mark", "n_shingles", of)
 

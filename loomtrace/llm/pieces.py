@@ -346,8 +346,10 @@ def _traced(model, kept: list[str]):
 
 
 def _giant(docs: DataFrame, model, chunk: int) -> DataFrame:
-    kept = [f for f in docs.schema.fields if f.name != "text"]
-    names = [f.name for f in kept]
+    own = [c for c in docs.columns if c != "text"]
+    names = [f"_kept{i}" for i in range(len(own))]
+    docs = docs.select("text", *(F.col(f"`{c}`").alias(n) for c, n in zip(own, names, strict=True)))
+    kept = docs.schema.fields[1:]
     long, string = T.LongType(), T.StringType()
     head = [T.StructField(c, t) for c, t in (("_row", long), ("_chunk", long), ("_before", string), ("_body", string), ("_after", string))]
     chunks = anchor(docs.mapInArrow(_cut(model, chunk, names), T.StructType(head + kept)))
@@ -369,7 +371,7 @@ def _giant(docs: DataFrame, model, chunk: int) -> DataFrame:
     whole = traced.groupBy("_row").agg(
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_chunk", "ids"))), lambda x: x["ids"])).alias("ids"), *(F.first(c).alias(c) for c in names)
     )
-    return whole.select(*names, "ids")
+    return whole.select(*(F.col(n).alias(c) for c, n in zip(own, names, strict=True)), "ids")
 
 
 def encode(docs: DataFrame, model: bytes, chunk: int = CHUNK) -> DataFrame:

@@ -91,7 +91,7 @@ def with_features(found: DataFrame, known: list[tuple[str, int]]) -> DataFrame:
     words = sorted((w for w, _ in known), key=lambda w: (-len(w), w))
     left = F.regexp_replace(low, "|".join(words), "") if words else low
     near = F.col("near")
-    lead = F.lower(F.substring_index(F.col("word"), text, 1))
+    lead = F.lower(F.expr("substring_index(word, candidate, 1)"))
     is_set = lead.rlike(r"[=:]") | near.rlike(r"([=:]|:=|=>|\bis)$")
     return (
         found.withColumn("length", F.length(text).cast("double"))

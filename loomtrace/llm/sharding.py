@@ -8,8 +8,9 @@ in its quota; rows win by a hash. Rounds stop when nothing moves.
 
 Landing then gives exact sizes. Linked rows of a shard keep their order by label and key
 up to the quota; what is over, and all rows without links, fill the free places from one
-line, group after group. So a group larger than a shard fills whole shards, and the
-counts of two shards differ by one at most ("rows" is the law that holds).
+line, group after group. Keys of more rows than a shard takes have no votes; their rows
+come first in this line and fill shard after shard. The counts of two shards differ by
+one at most ("rows" is the law that holds).
 
 Ranks come from a range partitioning on hashes, pinned, with one count per partition; no
 window spans a shard. Sizes per shard and flows between shards are small: shards and
@@ -51,8 +52,7 @@ def propagated(links: DataFrame, rows: int, shards: int, rounds: int = MOST_ROUN
     chance is a hash of the row that decides on its start and who wins a place; ``rows``
     counts all rows, linked or not, and sets the quotas.
     """
-    held = links.groupBy("key").count().filter("count > 1").select("key")
-    state = anchor(links.join(held, "key").withColumn("label", F.pmod("chance", F.lit(shards)).cast("int")))
+    state = anchor(links.withColumn("label", F.pmod("chance", F.lit(shards)).cast("int")))
     for turn in range(rounds):
         cells = state.groupBy("key", "label").agg(F.count("*").alias("n"))
         votes = state.select("row", "key").join(cells, "key").groupBy("row", "label").agg(F.sum("n").alias("n"), F.min("key").alias("key"))
@@ -88,7 +88,10 @@ def sharded(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int
     Both must be pinned or files, so that a row keeps its number.
     """
     total = rows.count()
-    state = propagated(links.join(rows.select("row", "chance"), "row"), total, shards, rounds)
+    sizes = links.groupBy("key").agg(F.count("*").alias("n"))
+    large = links.join(sizes.filter(F.col("n") > total // shards).select("key"), "key")
+    small = links.join(sizes.filter((F.col("n") > 1) & (F.col("n") <= total // shards)).select("key"), "key")
+    state = propagated(small.join(rows.select("row", "chance"), "row"), total, shards, rounds)
     linked = state.groupBy("row").agg(F.first("label").alias("label"), F.min("key").alias("key"))
     linked = numbered(rows.join(linked, "row"), "label", "key", "chance")
     held = {r["label"]: (r["n"], r["first"]) for r in linked.groupBy("label").agg(F.count("*").alias("n"), F.min("nth").alias("first")).collect()}
@@ -99,10 +102,11 @@ def sharded(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int
     settled = F.col("slot") < F.element_at(_longs(stay), F.col("label") + 1)
     here = linked.filter(settled).withColumn("shard", F.col("label")).drop("label", "key")
 
-    over = linked.filter(~settled).withColumn("late", F.lit(0)).drop("slot")
-    alone = rows.join(state.select("row").distinct(), "row", "left_anti")
-    alone = alone.withColumn("late", F.lit(1)).withColumn("label", F.lit(0)).withColumn("key", F.lit(0).cast("long"))
-    line = numbered(over.unionByName(alone), "late", "label", "key", "chance")
+    over = linked.filter(~settled).withColumn("late", F.lit(1)).drop("slot")
+    free = rows.join(state.select("row").distinct(), "row", "left_anti").withColumn("label", F.lit(0))
+    free = free.join(large.groupBy("row").agg(F.min("key").alias("key")), "row", "left")
+    free = free.withColumn("late", F.when(F.col("key").isNull(), 2).otherwise(0)).withColumn("key", F.coalesce("key", F.lit(0).cast("long")))
+    line = numbered(over.unionByName(free), "late", "label", "key", "chance")
     begin = [sum(quota[:k]) - sum(stay[:k]) for k in range(shards)]
     shard = F.size(F.filter(_longs(begin), lambda x: x <= F.col("nth"))) - 1
     line = line.withColumn("shard", shard)
