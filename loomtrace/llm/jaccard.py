@@ -3,10 +3,11 @@
 A document's set holds its distinct 5-word shingles (fewer words: the sequence as one).
 All sets are put in one global order, tokens thought frequent last. Two sets of at least
 75 % similarity share at least l tokens in their prefixes of size n - ceil(0.75 n) + l,
-for any l. Each document picks its l by estimated cost: a longer prefix touches more
-postings, but leaves at most (postings hit) / l candidates to verify. A pair needs the
-smaller l of its two documents, so a document with fewer shared prefix tokens than any
-partner asks for drops out before anything is verified.
+for any l. Each document picks its l, in proportion to its size, by estimated cost: a
+longer prefix touches more postings, but leaves at most (postings hit) / l candidates to
+verify. A pair needs the smaller l of its two documents, so a document with fewer shared
+prefix tokens than any partner of a fitting size asks for drops out before anything is
+verified.
 
 Frequencies come from a sketch of all shingles, of fixed size; they steer only the order
 and l, so the links found do not depend on them. Equal sets are one node from the start.
@@ -48,9 +49,12 @@ from loomtrace.session import anchor
 SHINGLE = 5
 #: Similarity as a ratio of whole numbers.
 SHARE, OF = 75, 100
-MOST_MATCHES = 4
+#: A set of n tokens asks for n // MATCHES matches (one at least), or a multiple of them.
+MATCHES, MULTIPLES = 16, (1, 2, 4)
 #: Verifying a candidate costs as much as so many postings.
-VERIFY_COST = 50
+VERIFY_COST = 8
+#: Bits of the filter that finds the texts of candidates where they are read.
+FILTER_BITS = 1 << 23
 CELLS, CELL_SLICES = 1 << 20, 16
 #: Text bytes whose postings one bucket holds.
 BUCKET_BYTES = 6 << 20
@@ -147,7 +151,10 @@ def _ordered(token: np.ndarray, text: np.ndarray, excess: np.ndarray) -> np.ndar
 
 
 def _prefixes(token: np.ndarray, first: np.ndarray, excess: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix tokens of each set, the set of each, and the matches each set needs."""
+    """Prefix tokens of each set, the set of each, and the fewest matches of a pair with it.
+
+    A partner has 75 % of its tokens at least, and asks for matches by the same rule.
+    """
     n = np.diff(first)
     text = np.repeat(np.arange(len(n)), n)
     token = token[_ordered(token, text, excess)]
@@ -156,16 +163,17 @@ def _prefixes(token: np.ndarray, first: np.ndarray, excess: np.ndarray) -> tuple
     least = -(-SHARE * n // OF)
     base = n - least
     matches, best = np.ones(len(n), np.int64), np.full(len(n), np.inf)
-    for m in range(1, MOST_MATCHES + 1):
+    for times in MULTIPLES:
+        m = times * np.maximum(1, n // MATCHES)
         fits = m <= least
         hit = hits[first[:-1] + np.where(fits, base + m, 0)] - hits[first[:-1]]
         cost = np.where(fits, hit * (1 + VERIFY_COST / m), np.inf)
         better = cost < best
-        matches[better], best[better] = m, cost[better]
+        matches[better], best[better] = m[better], cost[better]
     size = np.where(n > 0, base + matches, 0)
     cut = np.concatenate([[0], np.cumsum(size)])
     take = np.repeat(first[:-1] - cut[:-1], size) + np.arange(cut[-1])
-    return token[take], np.repeat(np.arange(len(n)), size), matches
+    return token[take], np.repeat(np.arange(len(n)), size), np.maximum(1, least // MATCHES)
 
 
 _POSTED = "bucket long, load binary"
@@ -182,7 +190,7 @@ def _posted(token: np.ndarray, own: np.ndarray, node: np.ndarray, size: np.ndarr
     for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True) if len(cut) else ():
         mine, index = np.unique(own[a:b], return_inverse=True)
         steps = np.diff(token[a:b], prepend=np.uint64(0))
-        loads.append(W.packed(node[mine], size[mine].astype(np.int64), need[mine].astype(np.int8), index.astype(np.int32), steps))
+        loads.append(W.packed(node[mine], size[mine].astype(np.int64), need[mine].astype(np.int32), index.astype(np.int32), steps))
     return pa.record_batch([pa.array(bucket[cut]), pa.array(loads, pa.binary())], ["bucket", "load"])
 
 
@@ -242,10 +250,32 @@ def _sizes_fit(a: str, b: str):
     return F.least(a, b) * OF >= F.greatest(a, b) * SHARE
 
 
+def _maybe_chosen(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, text) of the chosen ids (_id), and of some more.
+
+    A Bloom filter of one hash and fixed size; the fuller it is, the more gets through.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    cells = chosen.select(bit("_id").alias("bit")).groupBy(F.shiftright("bit", 6).alias("cell"))
+    rows = cells.agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits")).collect()
+    there = np.zeros(FILTER_BITS >> 6, np.int64)
+    there[[r["cell"] for r in rows]] = [r["bits"] for r in rows]
+    shared = docs.sparkSession.sparkContext.broadcast(there)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("bit").to_numpy()
+            hit = (shared.value[at >> 6] >> (at & 63)) & 1
+            yield batch.filter(pa.array(hit.astype(bool))).select(["doc_id", "text"])
+
+    source = docs.select("doc_id", "text", bit(F.col("doc_id").cast("long")).alias("bit"))
+    return source.mapInArrow(keep, source.drop("bit").schema)
+
+
 def _node_texts(docs: DataFrame, described: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
     """(node, text): a packed text of each of the nodes."""
-    chosen = described.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("_id"))
-    met = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
+    chosen = anchor(described.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("_id")))
+    met = _maybe_chosen(docs, chosen).join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
@@ -308,7 +338,7 @@ def _again(buckets: int):
             lead = batch.column("a").to_numpy().view(np.uint64)
             token = W.mixed(np.concatenate([np.zeros(0, np.uint64), *rest]) ^ W.mixed(lead[own]))
             node, size = batch.column("b").to_numpy(), batch.column("b_size").to_numpy()
-            yield _posted(token, own, node, size, np.ones(len(size), np.int8), buckets)
+            yield _posted(token, own, node, size, np.ones(len(size), np.int32), buckets)
 
     return send
 
@@ -316,11 +346,10 @@ def _again(buckets: int):
 def _stars(lists: DataFrame) -> DataFrame:
     """(a, b): the lead of each list with every other set of it.
 
-    A set stays if it has as many shared tokens as some pair of the list needs.
+    A set stays if it has as many shared tokens as a pair with it needs.
     """
-    degree = lists.groupBy("node").agg(F.sum("times").alias("degree"))
-    least = lists.groupBy("list").agg(F.min("need").alias("least"))
-    kept = lists.join(degree, "node").join(least, "list").filter("degree >= least")
+    degree = lists.groupBy("node").agg(F.sum("times").alias("degree"), F.first("need").alias("need"))
+    kept = lists.select("list", "node").join(degree.filter("degree >= need"), "node")
     lead = kept.groupBy("list").agg(F.max_by("node", F.struct("degree", "node")).alias("a"))
     pairs = kept.select("list", F.col("node").alias("b")).join(lead, "list")
     return pairs.filter("a <> b").select("a", "b").distinct()
@@ -384,9 +413,11 @@ def labelled(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     buckets = max(1, -(-size // bucket_bytes))
     posted = docs.select("doc_id", "text").mapInArrow(_send(seed, buckets, excess), _POSTED)
     lists = _lists(posted)
-    texts = anchor(_node_texts(docs, described, lists.select("node").distinct(), seed))
+    stars = anchor(_stars(lists))
+    ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
+    texts = anchor(_node_texts(docs, described, ends, seed))
 
-    tried = anchor(_tried(_stars(lists), texts, seed, excess))
+    tried = anchor(_tried(stars, texts, seed, excess))
     links = tried.filter("linked").select("a", "b")
     found = components(links)
 
