@@ -14,8 +14,9 @@ weights, which can be cut anywhere and combined associatively:
 4. Each chunk is then traced back on its own between its two states.
 
 Other documents are one chunk each and need only the last step. Between two characters
-that no piece holds side by side no piece can lie across, so words are traced one by one,
-and each worker keeps the ids of up to CACHE words it has met.
+that no piece holds side by side no piece can lie across, so words are traced one by one;
+the path of a short one is what the merges of the library give. Each worker keeps the ids
+of up to CACHE words it has met.
 
 A chunk is at most 2 * CHUNK characters and a product takes FAN small matrices, whatever
 the document's length. Only the finished ids of a document come together again, as the
@@ -47,6 +48,8 @@ from loomtrace.session import anchor
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK, FAN, CACHE = 1 << 15, 64, 200_000
+#: Up to this length merging a word is faster than tracing its path, beyond it slower.
+SHORT = 64
 SPACE = "▁"
 #: The largest model that is sent to the executors.
 MOST_MODEL_BYTES = 64 << 20
@@ -56,7 +59,7 @@ class Pieces:
     """The vocabulary of a model and its segmentation of strings."""
 
     def __init__(self, model: bytes) -> None:
-        given = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.given = given = sentencepiece.SentencePieceProcessor(model_proto=model)
         every = range(given.get_piece_size())
         self.byte = [0] * 256
         for i in every:
@@ -76,21 +79,26 @@ class Pieces:
             self.text[i] = bytes([value])
         self.words = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         self.follows: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        #: Pieces that merging their characters gives.
+        self.whole = frozenset(p for p in self.id if len(p) > 1 and self.merged(p) == [p])
         self.known: dict[str, list[int]] = {}
 
     def merged(self, s: str) -> list[str]:
         """The model's merges: best score first, then leftmost."""
+        score, none = self.score.get, -np.inf
         parts = list(s)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                score = self.score.get(parts[k] + parts[k + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, k
-            if best is None:
+        pairs = [score(a + b, none) for a, b in zip(parts, parts[1:])]  # noqa: B905
+        while pairs:
+            best = max(pairs)
+            if best == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            at = pairs.index(best)
+            piece = parts[at] = parts[at] + parts.pop(at + 1)
+            del pairs[at]
+            if at:
+                pairs[at - 1] = score(parts[at - 1] + piece, none)
+            if at < len(pairs):
+                pairs[at] = score(piece + parts[at + 1], none)
         return parts
 
     def may_follow(self, a: str, b: str) -> bool:
@@ -106,14 +114,7 @@ class Pieces:
 
     def is_piece(self, s: str) -> bool:
         """A character, or a piece that merging its characters gives."""
-        if len(s) == 1:
-            return True
-        if s not in self.id:
-            return False
-        found = self.whole.get(s)
-        if found is None:
-            found = self.whole[s] = self.merged(s) == [s]
-        return found
+        return len(s) == 1 or s in self.whole
 
     def paths(self, s: str, begin: int, end: int, before: str | None) -> list[int]:
         """For each place up to end: length of the last piece of the path from begin, or 0.
@@ -122,41 +123,60 @@ class Pieces:
         leads to a place, so one number each is the whole row of the matrix.
         """
         last = [0] * (end + 1)
+        whole, inside, known, longest = self.whole, self.inside, self.follows, self.longest
         for i in range(begin + 1, end + 1):
-            for size in range(min(self.longest, i - begin), 0, -1):
-                j = i - size
-                if j > begin and not last[j]:
-                    continue
-                piece = s[j:i]
-                if not self.is_piece(piece):
-                    continue
-                prior = s[j - last[j] : j] if j > begin else before
-                if prior is None or self.may_follow(prior, piece):
-                    last[i] = size
-                    break
+            for j in range(max(begin, i - longest), i):
+                if j > begin:
+                    if not last[j]:
+                        continue
+                    piece = s[j:i]
+                    if i - j > 1 and piece not in whole:
+                        continue
+                    if s[j - 1 : j + 1] in inside:
+                        prior = s[j - last[j] : j]
+                        fits = known.get((prior, piece))
+                        if not (self.may_follow(prior, piece) if fits is None else fits):
+                            continue
+                else:
+                    piece = s[j:i]
+                    if (i - j > 1 and piece not in whole) or (before is not None and not self.may_follow(before, piece)):
+                        continue
+                last[i] = i - j
+                break
         return last
 
+    def traced(self, s: str) -> list[str]:
+        """The path of weight 0 through a whole string, which is what merging it gives."""
+        last, at, parts = self.paths(s, 0, len(s), None), len(s), []
+        while at:
+            parts.append(s[at - last[at] : at])
+            at -= last[at]
+        return parts[::-1]
+
     def ids_of_word(self, s: str) -> list[int]:
-        found = self.known.get(s)
-        if found is None:
-            last, at, parts = self.paths(s, 0, len(s), None), len(s), []
-            while at:
-                parts.append(s[at - last[at] : at])
-                at -= last[at]
-            found = []
-            for piece in reversed(parts):
-                i = self.id.get(piece)
-                found.extend([i] if i is not None else (self.byte[b] for b in piece.encode()))
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[s] = found
+        found = []
+        for piece in self.merged(s) if len(s) <= SHORT else self.traced(s):
+            i = self.id.get(piece)
+            found.extend([i] if i is not None else (self.byte[b] for b in piece.encode()))
         return found
 
+    def learn(self, words: set[str]) -> None:
+        """Keep the ids of new words; the library merges the short ones behind a space."""
+        if len(self.known) + len(words) > CACHE:
+            self.known = {w: self.known[w] for w in words if w in self.known}
+        new = [w for w in words if w not in self.known]
+        short = [w for w in new if w[0] == SPACE and 1 < len(w) <= SHORT]
+        self.known.update(zip(short, self.given.encode([w[1:] for w in short], num_threads=1), strict=True))
+        self.known.update((w, self.ids_of_word(w)) for w in set(new).difference(short))
+
     def ids(self, s: str) -> list[int]:
         """Ids of a string in which spaces are marked."""
         out: list[int] = []
-        for word in self.words.findall(s):
-            out += self.known.get(word) or self.ids_of_word(word)
+        words = self.words.findall(s)
+        if any(w not in self.known for w in words):
+            self.learn(set(words))
+        for found in map(self.known.__getitem__, words):
+            out += found
         return out
 
     def decoded(self, ids: list[int]) -> bytes:

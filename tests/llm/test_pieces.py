@@ -40,6 +40,13 @@ def test_runs_of_one_character(library, ours):
             assert ours.ids(P._marked(c * n)) == library.encode(c * n)
 
 
+def test_paths_are_what_merging_gives(ours):
+    rng = random.Random(3)
+    for n in range(400):
+        s = "".join(rng.choice("aabeinrst-=▁0") for _ in range(rng.randrange(1, 50)))
+        assert ours.traced(s) == ours.merged(s)
+
+
 def texts():
     rng = random.Random(8)
     words = ["the", "representation", "springframework", "aaaaaaa", "x" * 40, "漢字", "1234567", "\n\n", "=" * 30, "don't", "été"]
