@@ -79,21 +79,21 @@ def interactive(events: DataFrame) -> DataFrame:
 
 
 def clustered(
-    events: DataFrame, *, window: float = 0.5, actor: str = "actor", bound: int | None = None
+    events: DataFrame, *, window: float = 0.5, actor: str = "actor"
 ) -> DataFrame:
     """Events with a cluster number: a gap above `window` seconds starts a new cluster."""
-    seen = along(events, [actor], list(EVENT), bound=bound).previous({"_before": "ts"})
+    seen = along(events, [actor], list(EVENT)).previous({"_before": "ts"})
     fresh = F.col("_before").isNull() | (F.col("ts") - F.col("_before") > window)
     numbered = seen.running_sum(fresh.cast("long"), "cluster")
     return numbered.frame().drop("_before")
 
 
 def clusters(
-    events: DataFrame, *, window: float = 0.5, actor: str = "actor", bound: int | None = None
+    events: DataFrame, *, window: float = 0.5, actor: str = "actor"
 ) -> DataFrame:
     """One row per cluster: start, events, and whether one of them matched."""
     return (
-        clustered(events, window=window, actor=actor, bound=bound)
+        clustered(events, window=window, actor=actor)
         .groupBy(actor, "cluster")
         .agg(
             F.min("ts").alias("start"),
@@ -103,11 +103,9 @@ def clusters(
     )
 
 
-def cluster_deltas(
-    found: DataFrame, *, actor: str = "actor", bound: int | None = None
-) -> DataFrame:
+def cluster_deltas(found: DataFrame, *, actor: str = "actor") -> DataFrame:
     """Seconds from one cluster start to the next; `after_match` marks a matched start."""
-    seen = along(found, [actor], ["cluster"], bound=bound).previous(
+    seen = along(found, [actor], ["cluster"]).previous(
         {"_before": "start", "after_match": "matched"}
     )
     return seen.frame().where(F.col("_before").isNotNull()).select(
@@ -116,12 +114,12 @@ def cluster_deltas(
 
 
 def timing_summary(
-    events: DataFrame, *, window: float = 0.5, actor: str = "actor", bound: int | None = None
+    events: DataFrame, *, window: float = 0.5, actor: str = "actor"
 ) -> DataFrame:
     """Total and kept events and clusters per actor."""
     kept = interactive(events)
     counts = events.groupBy(actor).agg(F.count("*").alias("total_bundles"))
-    few = clusters(kept, window=window, actor=actor, bound=bound).groupBy(actor).agg(
+    few = clusters(kept, window=window, actor=actor).groupBy(actor).agg(
         F.sum("n_events").alias("kept_bundles"), F.count("*").alias("num_clusters")
     )
     return counts.join(few, actor, "left").na.fill(0, ["kept_bundles", "num_clusters"])

@@ -58,14 +58,15 @@ def empirical_p(
 ) -> DataFrame:
     """(1 + values as extreme as the observed one) / (n + 1), per key.
 
-    The smallest p the design can reach is 1 / (n + 1); it is reported as `floor`.
+    The smallest p the design can reach is 1 / (n + 1); it is reported as `floor`. Several
+    observed values of a key get a row each.
     """
     if tail not in TAILS:
         raise ValueError(f"tail must be one of {TAILS}, got {tail!r}")
     keys = list(keys)
     seen = observed.select(*keys, F.col("value").alias("observed"))
     values = nulls.where(F.col("value").isNotNull())
-    both = values.join(seen, keys) if keys else values.join(F.broadcast(seen.limit(1)))
+    both = values.join(seen, keys) if keys else values.join(F.broadcast(seen))
     if tail == "two-sided":
         mean = values.groupBy(*keys).agg(F.avg("value").alias("mean"))
         both = both.join(mean, keys) if keys else both.join(F.broadcast(mean))
@@ -74,8 +75,7 @@ def empirical_p(
         hit = F.col("value") <= F.col("observed")
     else:
         hit = F.col("value") >= F.col("observed")
-    return both.groupBy(*keys).agg(
-        F.max("observed").alias("observed"),
+    return both.groupBy(*keys, "observed").agg(
         F.count("*").alias("n_null"),
         ((1 + F.count_if(hit)) / (F.count("*") + 1)).alias("p_value"),
         (1 / (F.count("*") + 1)).alias("floor"),

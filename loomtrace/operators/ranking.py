@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.functions.text import safe_divide
+from loomtrace.plans.ordered import along
 from loomtrace.session import anchor
 
 CORE = ("normalized_mean_separation", "silhouette_overall", "cliffs_delta_mean")
@@ -96,10 +97,9 @@ def competition_ranks(rows: DataFrame, columns: Sequence[str] = CORE) -> DataFra
     for c in columns:
         value = F.round(F.col(c), DIGITS)
         counts = rows.where(finite(c)).groupBy(value.alias("_v")).agg(F.count("*").alias("_n"))
-        before = Window.orderBy(F.col("_v").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        ranks = counts.select(
-            "_v", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1).cast("double").alias(f"{c}_rank")
-        )
+        laid = along(counts.withColumn("_down", -F.col("_v")), [], ["_down"])
+        upto = laid.running_sum(F.col("_n"), "_upto").frame()
+        ranks = upto.select("_v", (F.col("_upto") - F.col("_n") + 1).cast("double").alias(f"{c}_rank"))
         out = out.withColumn("_v", value).join(ranks, "_v", "left").drop("_v")
     return out
 
@@ -138,8 +138,9 @@ def rank_series(
         F.avg(metric).alias("mean"), F.count("*").alias("n")
     )
     by = F.round("mean", DIGITS)
-    order = Window.orderBy(by.asc() if ascending else by.desc(), key)
-    return means.withColumn("position", F.row_number().over(order).cast("long"))
+    laid = along(means.withColumn("_by", by if ascending else -by), [], ["_by", key])
+    placed = laid.positions("position").frame().drop("_by")
+    return placed.withColumn("position", F.col("position") + 1)
 
 
 def series_quartiles(results: DataFrame, key: str, metric: str) -> DataFrame:

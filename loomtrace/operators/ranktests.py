@@ -17,9 +17,7 @@ EXACT_LIMIT = 8  # the smaller sample up to which the exact U distribution is us
 EXACT_SIGNED = 50  # pairs up to which the exact signed-rank distribution is used
 
 
-def rank_sums(
-    values: DataFrame, keys: Sequence[str], *, bound: int | None = None
-) -> DataFrame:
+def rank_sums(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     """U, Cliff's delta and tie term for samples x and y of every key.
 
     Input (keys.., side 'x' or 'y', value). Equal values are counted first, so a
@@ -30,7 +28,7 @@ def rank_sums(
     cells = values.groupBy(*keys, "value").agg(
         F.count(F.when(x, 1)).alias("nx"), F.count(F.when(y, 1)).alias("ny")
     )
-    ranked = along(cells, keys, ["value"], bound=bound).running_sum(F.col("ny"), "_upto")
+    ranked = along(cells, keys, ["value"]).running_sum(F.col("ny"), "_upto")
     below = F.col("_upto") - F.col("ny")
     ties = F.col("nx") + F.col("ny")
     out = ranked.frame().groupBy(*keys).agg(

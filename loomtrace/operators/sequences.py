@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.operators.distributions import pair_distances
 from loomtrace.operators.windows import swept_windows
-from loomtrace.plans.ordered import MAX_TASK_ROWS, along
+from loomtrace.plans.ordered import along
 from loomtrace.session import anchor
 
 SCALARS = ("gini", "kurtosis", "entropy", "mad")
@@ -30,12 +30,12 @@ def profile(
     metrics and keys with too few distinct items no kurtosis.
 
     Work is done on (count value, how many items have it). A key of N rows has at most
-    sqrt(2 N) distinct count values, so the running sum needs no measuring.
+    sqrt(2 N) distinct count values.
     """
     keys = list(keys)
     x, m = F.col("x").cast("double"), F.col("m")
     cells = counts.groupBy(*keys, F.col("cnt").alias("x")).agg(F.count("*").alias("m"))
-    ranked = along(cells, keys, ["x"], bound=MAX_TASK_ROWS).running_sum(m, "_upto").frame()
+    ranked = along(cells, keys, ["x"]).running_sum(m, "_upto").frame()
     everyone = Window.partitionBy(*keys)
     sized = ranked.select(
         "*",

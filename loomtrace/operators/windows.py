@@ -99,10 +99,9 @@ def line_windows(
     join_token: str = " <EOL> ",
     text: str = "text",
     anchor: str = "line_no",
-    bound: int | None = None,
 ) -> DataFrame:
     """Texts of consecutive lines joined; `anchor` is the first line's number."""
-    placed = along(lines, keys, order, bound=bound).positions().frame()
+    placed = along(lines, keys, order).positions().frame()
     cut = windows(
         placed, keys, text, size=size, stride=stride, drop_last=drop_last, anchor=anchor
     )
@@ -123,13 +122,12 @@ def id_windows(
     prefix: str = "CID",
     cid: str = "cid",
     anchor: str = "line_no",
-    bound: int | None = None,
 ) -> DataFrame:
     """Template ids of consecutive lines, printed `CID4 CID9 ..`."""
     printed = ids.withColumn("_id", F.concat(F.lit(prefix), F.col(cid).cast("string")))
     return line_windows(
         printed, keys, order, size=size, stride=stride, drop_last=drop_last,
-        join_token=" ", text="_id", anchor=anchor, bound=bound,
+        join_token=" ", text="_id", anchor=anchor,
     )
 
 
@@ -162,7 +160,6 @@ def bundle_texts(
     strategy: str = "fixed",
     drop_last: bool = False,
     text: str = "text",
-    bound: int | None = None,
 ) -> DataFrame:
     """Consecutive texts of one class joined by line ends; empty bundles are dropped.
 
@@ -171,14 +168,14 @@ def bundle_texts(
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, got {strategy!r}")
-    placed = along(texts, keys, order, bound=bound).positions().frame()
+    placed = along(texts, keys, order).positions().frame()
     step = size if strategy == "fixed" else max(1, stride)
     cut = windows(placed, keys, text, size=size, stride=step, drop_last=False)
     if drop_last or strategy == "sliding":
         whole = F.col("n") == size
         if strategy == "sliding" and not drop_last:
             counts = texts.groupBy(*keys).agg(F.count("*").alias("_total"))
-            cut = cut.join(counts, list(keys))
+            cut = cut.join(F.broadcast(counts), list(keys))  # one row per class
             whole = whole | ((F.col("_total") < size) & (F.col("window") == 0))
         cut = cut.where(whole)
     bundled = cut.select(

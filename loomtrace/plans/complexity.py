@@ -24,14 +24,13 @@ def pairwise_complexity(
     group: Sequence[str] = (),
     settings: Sequence[tuple[int, int]] = SWEEP,
     cid: str = "cid",
-    bound: int | None = None,
 ) -> DataFrame:
     """Twelve distances per pair and setting; a silent actor or one without windows: NULL."""
     group = list(group)
     keys = [*group, "actor"]
     actors = ids.select(*keys).distinct()
     on_ids = pair_profiles(id_counts(ids, keys, cid), actors, group)
-    placed = along(ids.select(*keys, cid, *order), keys, order, bound=bound).positions().frame()
+    placed = along(ids.select(*keys, cid, *order), keys, order).positions().frame()
     listed = F.array(
         *[
             F.struct(F.lit(s).cast("long").alias("size"), F.lit(t).cast("long").alias("stride"))

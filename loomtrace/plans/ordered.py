@@ -1,12 +1,11 @@
 """Positions, neighbours and running sums along an order, per key.
 
-A plain window puts every row of a key into one task. That is the best plan while
-the largest key is small, and a dead end once one actor holds a third of the data.
-`along` measures the largest key first. Small keys use plain windows. Otherwise the
-rows are range-partitioned on (keys, order), which balances whatever the skew, the
-layout is pinned by a checkpoint, windows run inside a range only, and one summary
-row per (range, key) carries the result across range borders. Both ways give the
-same rows.
+A plain window puts every row of a key into one task, which is a dead end once one actor
+holds a third of the data. So rows are always range-partitioned on (keys, order), which
+balances whatever the skew, and the layout is pinned by one checkpoint. Windows run
+inside a range; what a range takes over from earlier ones concerns only the first key in
+it, so it is one row per range at most, and that is broadcast. NULL keys are keys like
+others.
 """
 
 from __future__ import annotations
@@ -19,57 +18,53 @@ from pyspark.sql import functions as F
 
 from loomtrace.session import anchor
 
-MAX_TASK_ROWS = 4_000_000
 RANGE = "_range"
 
 
 @dataclass(frozen=True)
 class Along:
-    """A frame with a total order per key; `ranged` says how it is laid out."""
+    """A pinned frame in ranges of a total order per key."""
 
     df: DataFrame
     keys: tuple[str, ...]
     order: tuple[Column, ...]
-    ranged: bool
-
-    @property
-    def _scope(self) -> tuple[str, ...]:
-        return (RANGE, *self.keys) if self.ranged else self.keys
 
     def _window(self):
-        return Window.partitionBy(*self._scope).orderBy(*self.order)
-
-    def _carry(self, summary: DataFrame, total: Column, name: str) -> DataFrame:
-        """Sum of `total` over the earlier ranges of the same key."""
-        earlier = (
-            Window.partitionBy(*self.keys)
-            .orderBy(RANGE)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        return summary.select(
-            *self._scope, F.coalesce(F.sum(total).over(earlier), F.lit(0)).alias(name)
+        return Window.partitionBy(RANGE, *self.keys).orderBy(*self.order)
+
+    def _with_earlier(self, df: DataFrame, summary: DataFrame, value: Column, name: str) -> DataFrame:
+        """Add what the earlier ranges of a row's key give, NULL for a key's first range.
+
+        `summary` has a row per (range, key); `value` is a window expression over them. A
+        range shares no key but its first with earlier ranges, so few rows are left.
+        """
+        seen = Window.partitionBy(*self.keys).orderBy(RANGE)
+        carried = summary.select(
+            F.col(RANGE).alias("_r"),
+            *[F.col(k).alias(f"_k_{k}") for k in self.keys],
+            value.alias(name),
+            F.row_number().over(seen).alias("_nth"),
         )
+        carried = carried.where(F.col("_nth") > 1).drop("_nth")
+        same = F.col(RANGE) == F.col("_r")
+        for k in self.keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        joined = df.join(F.broadcast(carried), same, "left")
+        return joined.drop("_r", *[f"_k_{k}" for k in self.keys])
 
     def running_sum(self, value: Column, name: str) -> Along:
         """Inclusive running sum of a numeric expression."""
         upto = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         df = self.df.withColumn("_value", value)
+        sums = df.groupBy(RANGE, *self.keys).agg(F.sum("_value").alias("_total"))
+        earlier = Window.partitionBy(*self.keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
         out = df.withColumn(name, F.sum("_value").over(upto))
-        if self.ranged:
-            sums = df.groupBy(*self._scope).agg(F.sum("_value").alias("_total"))
-            carry = self._carry(sums, F.col("_total"), "_carry")
-            out = out.join(carry, list(self._scope)).withColumn(
-                name, F.col(name) + F.col("_carry")
-            )
+        out = self._with_earlier(out, sums, F.sum("_total").over(earlier), "_carry")
+        out = out.withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0)))
         return replace(self, df=out.drop("_value", "_carry"))
 
     def positions(self, name: str = "pos") -> Along:
         """Zero-based position within the key."""
-        if not self.ranged:
-            numbered = self.df.withColumn(
-                name, (F.row_number().over(self._window()) - 1).cast("long")
-            )
-            return replace(self, df=numbered)
         counted = self.running_sum(F.lit(1).cast("long"), name)
         return replace(counted, df=counted.df.withColumn(name, F.col(name) - 1))
 
@@ -77,21 +72,11 @@ class Along:
         """Add the preceding row's values, as {new name: column}; NULL at the start."""
         row = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
         out = self.df.withColumn("_row", row)
+        last = out.groupBy(RANGE, *self.keys).agg(F.max_by("_row", F.struct(*self.order)).alias("_last"))
+        before = Window.partitionBy(*self.keys).orderBy(RANGE)
         lagged = out.withColumn("_prev", F.lag("_row").over(self._window()))
-        if self.ranged:
-            tail = Window.partitionBy(*self._scope).orderBy(*self.order)
-            last = (
-                out.withColumn("_next", F.lead(F.lit(1)).over(tail))
-                .where(F.col("_next").isNull())
-                .select(*self._scope, "_row")
-            )
-            across = Window.partitionBy(*self.keys).orderBy(RANGE)
-            edge = last.select(
-                *self._scope, F.lag("_row").over(across).alias("_edge")
-            )
-            lagged = lagged.join(edge, list(self._scope)).withColumn(
-                "_prev", F.coalesce("_prev", "_edge")
-            )
+        lagged = self._with_earlier(lagged, last, F.lag("_last").over(before), "_edge")
+        lagged = lagged.withColumn("_prev", F.coalesce("_prev", "_edge"))
         added = lagged.select(
             *self.df.columns, *[F.col(f"_prev.{n}").alias(n) for n in columns]
         )
@@ -101,28 +86,15 @@ class Along:
         return self.df.drop(RANGE)
 
 
-def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the most frequent key: one map-side-combined count."""
-    top = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
-    return int(top["n"] or 0)
-
-
 def along(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str | Column],
-    *,
-    bound: int | None = None,
-    max_task_rows: int = MAX_TASK_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], *, ranges: int | None = None
 ) -> Along:
-    """Lay a frame out for ordered work; `order` must be total within a key.
+    """Lay a frame out for ordered work; `order` must be total within a key and ascending.
 
-    `bound` is a known upper limit of rows per key and saves the measuring count.
+    `ranges` sets how many ranges are made; without it the session's partitions do.
     """
     columns = tuple(F.col(c) if isinstance(c, str) else c for c in order)
-    largest = bound if bound is not None else largest_key(df, keys)
-    if largest <= max_task_rows:
-        return Along(df, tuple(keys), columns, ranged=False)
-    ranges = df.repartitionByRange(*[F.col(k) for k in keys], *columns)
-    pinned = anchor(ranges.withColumn(RANGE, F.spark_partition_id()))
-    return Along(pinned, tuple(keys), columns, ranged=True)
+    by = [*[F.col(k) for k in keys], *columns]
+    laid = df.repartitionByRange(ranges, *by) if ranges else df.repartitionByRange(*by)
+    pinned = anchor(laid.withColumn(RANGE, F.spark_partition_id()))
+    return Along(pinned, tuple(keys), columns)
