@@ -6,21 +6,19 @@ pairs join assignments on the actors, then everything is grouped by (config, idx
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterator, Sequence
-from itertools import combinations, islice
+from collections.abc import Sequence
 from math import comb
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.operators.ranktests import rank_sums, with_mann_whitney_p
 from loomtrace.session import anchor
-from loomtrace.sources.catalog import class_label, is_ai, split_by_class
+from loomtrace.sources.catalog import class_label, is_ai
 
 TRUE_IDX = -1
-MAX_ENUMERATED = 20_000
 CLASSES = ("ai_ai", "ai_human", "human_human")
+LONGEST = 2**63 - 1
 
 
 def n_assignments(n_actors: int, n_ai: int, *, exclude_true: bool = True) -> int:
@@ -30,76 +28,140 @@ def n_assignments(n_actors: int, n_ai: int, *, exclude_true: bool = True) -> int
     return comb(n_actors, n_ai) - int(exclude_true)
 
 
-def _subsets(
-    names: Sequence[str], chosen: Sequence[str], exclude_true: bool
-) -> Iterator[tuple[str, ...]]:
-    true = tuple(sorted(chosen))
-    return (
-        s for s in combinations(sorted(names), len(true)) if not (exclude_true and s == true)
+def true_assignment(actors: DataFrame, marker: str = "GPT") -> DataFrame:
+    """The observed labels, as labeling -1."""
+    return actors.select(
+        F.lit(TRUE_IDX).cast("long").alias("idx"),
+        "actor",
+        class_label(F.col("actor"), marker).alias("label"),
     )
 
 
-def _rows(idx: int, names: Sequence[str], subset: Sequence[str], side: str) -> list[tuple]:
-    other = "human" if side == "ai" else "ai"
-    inside = set(subset)
-    return [(idx, n, side if n in inside else other) for n in sorted(names)]
+def roster(actors: DataFrame, *, marker: str = "GPT", side: str = "ai") -> DataFrame:
+    """One row: all actors by name, each with whether it has label `side` (`mine`)."""
+    ai = is_ai(F.col("actor"), marker)
+    mine = ai if side == "ai" else ~ai
+    named = actors.select("actor").distinct().select(F.struct("actor", mine.alias("mine")).alias("cell"))
+    return named.agg(F.array_sort(F.collect_list("cell")).alias("roster"))
+
+
+def labeling_counts(actors: DataFrame, *, marker: str = "GPT", side: str = "ai") -> DataFrame:
+    """One row: actors, how many have label `side`, and the other labelings of these sizes."""
+    mine = F.size(F.filter("roster", lambda c: c["mine"])).cast("long")
+    sized = roster(actors, marker=marker, side=side).select(F.size("roster").cast("long").alias("actors"), mine.alias("mine"))
+    # C(n, k) as the product of (n - k + i) / i, whole after every step.
+    ways = F.aggregate(
+        F.sequence(F.lit(1).cast("long"), F.col("mine")),
+        F.lit(1).cast("decimal(38,0)"),
+        lambda acc, i: (acc * (F.col("actors") - F.col("mine") + i) / i).cast("decimal(38,0)"),
+    )
+    return sized.select((ways - 1).cast("long").alias("n"), "actors", "mine")
 
 
-ASSIGNMENT = "idx long, actor string, label string"
+def _ways_table(n: int, k: int) -> Column:
+    """C(a, b) at place a * (k + 1) + b, for a < n and b <= k."""
+    return F.array(*[F.lit(min(comb(a, b), LONGEST)).cast("long") for a in range(n) for b in range(k + 1)])
 
 
-def true_assignment(actors: DataFrame, marker: str = "GPT") -> DataFrame:
-    """The observed labels, as labeling -1."""
-    return actors.select(
-        F.lit(TRUE_IDX).cast("long").alias("idx"),
-        "actor",
-        class_label(F.col("actor"), marker).alias("label"),
+def _ways_after(place: Column, left: Column, n: int, k: int) -> Column:
+    """Subsets of the places after this one that hold one member less than is left."""
+    at = (F.lit(n - 1) - place) * (k + 1) + left - 1
+    return F.when(left > 0, F.get(F.col("_ways"), at)).otherwise(F.lit(0).cast("long"))
+
+
+def _unranked(number: Column, n: int, k: int) -> Column:
+    """Which places the subset of this number has, in lexicographic order of subsets."""
+    start = F.struct(
+        number.alias("rest"), F.lit(k).alias("left"), F.array().cast("array<boolean>").alias("picked")
     )
 
+    def step(state: Column, place: Column) -> Column:
+        ways = _ways_after(place, state["left"], n, k)
+        take = state["rest"] < ways
+        return F.struct(
+            F.when(take, state["rest"]).otherwise(state["rest"] - ways).alias("rest"),
+            (state["left"] - take.cast("int")).alias("left"),
+            F.concat(state["picked"], F.array(take)).alias("picked"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), start, step)["picked"]
+
+
+def _ranked(n: int, k: int) -> Column:
+    """The number of the roster's own subset."""
+    start = F.struct(F.lit(0).cast("long").alias("rank"), F.lit(k).alias("left"))
+
+    def step(state: Column, place: Column) -> Column:
+        mine = F.get(F.col("roster"), place)["mine"]
+        ways = _ways_after(place, state["left"], n, k)
+        return F.struct(
+            (state["rank"] + F.when(mine, 0).otherwise(ways)).alias("rank"),
+            (state["left"] - mine.cast("int")).alias("left"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), start, step)["rank"]
+
+
+def _labelled(picked: DataFrame, side: str) -> DataFrame:
+    """(idx, actor, label) from (idx, roster, picked)."""
+    other = "human" if side == "ai" else "ai"
+    cells = F.explode(F.arrays_zip("roster.actor", "picked"))
+    long = picked.select("idx", cells.alias("cell"))
+    label = F.when(F.col("cell.picked"), side).otherwise(other)
+    return long.select("idx", F.col("cell.actor").alias("actor"), label.alias("label"))
+
 
 def indexed_assignments(
-    spark: SparkSession,
-    names: Sequence[str],
+    actors: DataFrame,
     *,
     marker: str = "GPT",
     side: str = "ai",
     indices: Sequence[int] | None = None,
     exclude_true: bool = True,
-    limit: int = MAX_ENUMERATED,
 ) -> DataFrame:
     """Labelings in lexicographic order of the subset that gets label `side`.
 
-    `indices` picks some of them; without it all are listed, and a design with more
-    than `limit` labelings is an error that names `sampled_assignments` as the way on.
+    A labeling is made from its number where its rows are, so any number of labelings is
+    a distributed range; only the two class sizes come to the driver. `indices` picks
+    some of them.
     """
-    humans, ais = split_by_class(names, marker)
-    chosen = ais if side == "ai" else humans
-    total = n_assignments(len(set(names)), len(chosen), exclude_true=exclude_true)
-    wanted = None if indices is None else sorted(set(indices))
-    if wanted is not None and wanted and not (0 <= wanted[0] and wanted[-1] < total):
-        raise ValueError(f"labeling index out of range 0..{total - 1}")
-    if wanted is None and total > limit:
-        raise ValueError(f"{total} labelings, more than {limit}: use sampled_assignments")
-    rows: list[tuple] = []
-    subsets = _subsets(names, chosen, exclude_true)
-    last = total if wanted is None else (wanted[-1] + 1 if wanted else 0)
-    keep = None if wanted is None else set(wanted)
-    for idx, subset in enumerate(islice(subsets, last)):
-        if keep is None or idx in keep:
-            rows += _rows(idx, names, subset, side)
-    return spark.createDataFrame(rows, ASSIGNMENT)
-
-
-def sampled_assignments(
-    spark: SparkSession, names: Sequence[str], n: int, *, marker: str = "GPT", seed: int = 42
-) -> DataFrame:
-    """`n` random labelings that keep the class sizes; equal seeds give equal draws."""
-    _, ais = split_by_class(names, marker)
-    draw = random.Random(seed)
-    rows: list[tuple] = []
-    for idx in range(n):
-        rows += _rows(idx, names, draw.sample(sorted(names), len(ais)), "ai")
-    return spark.createDataFrame(rows, ASSIGNMENT)
+    spark = actors.sparkSession
+    listed = roster(actors, marker=marker, side=side)
+    sizes = listed.select(F.size("roster").alias("n"), F.size(F.filter("roster", lambda c: c["mine"])).alias("k")).first()
+    n, k = sizes["n"], sizes["k"]
+    total = n_assignments(n, k, exclude_true=exclude_true)
+    if total > LONGEST:
+        raise ValueError(f"{total} labelings cannot be numbered: use sampled_assignments")
+    if indices is None:
+        chosen = spark.range(total).withColumnRenamed("id", "idx")
+    else:
+        wanted = sorted(set(indices))
+        if wanted and not (0 <= wanted[0] and wanted[-1] < total):
+            raise ValueError(f"labeling index out of range 0..{total - 1}")
+        chosen = spark.createDataFrame([(i,) for i in wanted], "idx long")
+    table = listed.withColumn("_ways", _ways_table(n, k))
+    table = table.withColumn("_true", _ranked(n, k) if exclude_true else F.lit(None).cast("long"))
+    number = F.col("idx") + F.coalesce((F.col("idx") >= F.col("_true")).cast("long"), F.lit(0))
+    joined = chosen.join(F.broadcast(table))
+    return _labelled(joined.select("idx", "roster", _unranked(number, n, k).alias("picked")), side)
+
+
+def sampled_assignments(actors: DataFrame, n: int, *, marker: str = "GPT", seed: int = 42) -> DataFrame:
+    """`n` random labelings that keep the class sizes; equal seeds give equal draws.
+
+    In each, the first actors by a hash of actor, labeling and seed become `ai`.
+    """
+    spark = actors.sparkSession
+    joined = spark.range(n).withColumnRenamed("id", "idx").join(F.broadcast(roster(actors, marker=marker)))
+    mixed = F.transform(
+        "roster", lambda c: F.struct(F.md5(F.concat_ws("|", c["actor"], F.col("idx"), F.lit(str(seed)))), c["actor"])
+    )
+    k = F.size(F.filter("roster", lambda c: c["mine"]))
+    first = F.transform(F.slice(F.array_sort(mixed), F.lit(1), k), lambda x: x["actor"])
+    picked = joined.withColumn("_first", first).withColumn(
+        "picked", F.transform("roster.actor", lambda a: F.array_contains("_first", a))
+    )
+    return _labelled(picked, "ai")
 
 
 def shuffled_assignment(actors: DataFrame, seed: int, marker: str = "GPT") -> DataFrame:
@@ -196,9 +258,7 @@ def silhouette_summary(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
 TESTS = {"ai_human_vs_ai_ai": "ai_ai", "ai_human_vs_human_human": "human_human"}
 
 
-def separation_tests(
-    labelled: DataFrame, keys: Sequence[str], *, bound: int | None = None
-) -> DataFrame:
+def separation_tests(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
     """U and Cliff's delta of cross-class against each within-class sample, long form."""
     roles = F.array(
         *[
@@ -212,7 +272,7 @@ def separation_tests(
         ]
     )
     samples = labelled.select(*keys, F.col("distance").alias("value"), F.inline(roles))
-    return rank_sums(samples.where(F.col("side").isNotNull()), [*keys, "test"], bound=bound)
+    return rank_sums(samples.where(F.col("side").isNotNull()), [*keys, "test"])
 
 
 def check_pairs(pairs: DataFrame, actors: DataFrame, group: Sequence[str] = ()) -> DataFrame:
@@ -251,19 +311,16 @@ def group_report(
     assignments: DataFrame,
     keys: Sequence[str],
     *,
-    n_actors: int | None = None,
     p_values: bool = True,
 ) -> DataFrame:
     """One row per (config, labeling): class summaries, silhouettes and both tests.
 
-    Undefined pairs are expected to be gone (`drop_incomplete`). `n_actors` bounds the
-    pairs per row and saves measuring them. Pairs are few but come from a whole scan, and
-    three summaries read them, so they are pinned.
+    Undefined pairs are expected to be gone (`drop_incomplete`). Pairs are few but come
+    from a whole scan, and three summaries read them, so they are pinned.
     """
     by = [*keys, "idx"]
     labelled = label_pairs(anchor(pairs), assignments)
-    bound = None if n_actors is None else n_actors * (n_actors - 1) // 2
-    tests = separation_tests(labelled, by, bound=bound)
+    tests = separation_tests(labelled, by)
     if p_values:
         tests = with_mann_whitney_p(tests)
     else:

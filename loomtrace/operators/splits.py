@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
-from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.plans.ordered import along
+from loomtrace.sources.catalog import is_ai
 
 PARTS = ("train", "val", "test")
 SHUFFLE_SEED = 42  # fixed value: decides the order of the outer splits
@@ -45,33 +44,43 @@ def require_parts(split: DataFrame) -> DataFrame:
     return split
 
 
-def outer_splits(
-    humans: Sequence[str],
-    ais: Sequence[str],
-    *,
-    limit: int | None = None,
-    seed: int = SHUFFLE_SEED,
-) -> list[tuple[str, str, str, str]]:
-    """All (val human, val ai, test human, test ai) with four different actors, shuffled."""
-    pairs = class_pairs(humans, ais)
-    combos = [(*v, *t) for v, t in product(pairs, pairs) if v[0] != t[0] and v[1] != t[1]]
-    random.Random(seed).shuffle(combos)
-    return combos if limit is None else combos[:limit]
-
-
-def class_pairs(humans: Sequence[str], ais: Sequence[str]) -> list[tuple[str, str]]:
-    """Every human with every AI actor."""
-    return list(product(humans, ais))
-
-
-def split_table(spark: SparkSession, combos: Sequence[tuple[str, str, str, str]]) -> DataFrame:
-    """Outer splits as rows, numbered from 0."""
-    rows = [(i, *c) for i, c in enumerate(combos)]
-    return spark.createDataFrame(
-        rows, "outer_i long, val_human string, val_ai string, test_human string, test_ai string"
+def _sides(actors: DataFrame, marker: str) -> DataFrame:
+    """One row with the sorted names of both classes."""
+    ai = is_ai(F.col("actor"), marker)
+    return actors.agg(
+        F.array_sort(F.collect_set(F.when(~ai, F.col("actor")))).alias("_humans"),
+        F.array_sort(F.collect_set(F.when(ai, F.col("actor")))).alias("_ais"),
     )
 
 
+def class_pairs(actors: DataFrame, marker: str = "GPT") -> DataFrame:
+    """Every human with every AI actor, as (human, ai)."""
+    humans = actors.where(~is_ai(F.col("actor"), marker)).select(F.col("actor").alias("human")).distinct()
+    joined = humans.join(F.broadcast(_sides(actors, marker)))
+    return joined.select("human", F.explode("_ais").alias("ai"))
+
+
+def outer_splits(
+    actors: DataFrame, *, limit: int | None = None, seed: int = SHUFFLE_SEED, marker: str = "GPT"
+) -> DataFrame:
+    """All choices of a human and an AI actor for validation and two others for test.
+
+    (outer_i, val_human, val_ai, test_human, test_ai), numbered from 0 in hash order;
+    `limit` keeps the first ones. Both classes are small, so their names are broadcast,
+    and every validation pair makes its splits where it is.
+    """
+    val = class_pairs(actors, marker).select(F.col("human").alias("val_human"), F.col("ai").alias("val_ai"))
+    both = val.join(F.broadcast(_sides(actors, marker)))
+    human = F.explode(F.filter("_humans", lambda h: h != F.col("val_human"))).alias("test_human")
+    ai = F.explode(F.filter("_ais", lambda a: a != F.col("val_ai"))).alias("test_ai")
+    every = both.select("val_human", "val_ai", "_ais", human).select("val_human", "val_ai", "test_human", ai)
+    names = ["val_human", "val_ai", "test_human", "test_ai"]
+    mixed = F.md5(F.concat_ws("|", *names, F.lit(str(seed))))
+    placed = along(every.withColumn("_mixed", mixed), [], ["_mixed", *names]).positions("outer_i").frame()
+    kept = placed if limit is None else placed.where(F.col("outer_i") < limit)
+    return kept.select("outer_i", *names)
+
+
 def split_parts(splits: DataFrame, actors: DataFrame) -> DataFrame:
     """(outer_i, actor, part) for every split and actor: small, made once."""
     name = F.col("actor")
@@ -118,7 +127,9 @@ def random_split(
         .when(F.col("_pos") < n_test + n_val, "val")
         .otherwise("train")
     )
-    joined = placed.join(sizes, keys) if keys else placed.join(F.broadcast(sizes))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    sizes = F.broadcast(sizes.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_n"))  # one row per class
+    joined = placed.join(sizes, same).drop(*[f"_of_{k}" for k in keys]) if keys else placed.join(sizes)
     return joined.withColumn("part", part).drop("_mixed", "_pos", "_n")
 
 

@@ -17,7 +17,6 @@ from loomtrace.operators.groupstats import (
 )
 from loomtrace.operators.nulls import empirical_p, metric_series
 from loomtrace.session import anchor
-from loomtrace.sources.catalog import actor_names
 
 MODES = ("word", "char")
 METRICS = ("l1", "js")
@@ -65,16 +64,12 @@ def null_report(
     p_values: bool = True,
 ) -> DataFrame:
     """Statistics rows for every null labeling, or for `sample` random ones."""
-    spark = distances.sparkSession
-    names = actor_names(actors)
     if sample is None:
-        assignments = indexed_assignments(spark, names, marker=marker)
+        assignments = indexed_assignments(actors, marker=marker)
     else:
-        assignments = sampled_assignments(spark, names, sample, marker=marker, seed=seed)
+        assignments = sampled_assignments(actors, sample, marker=marker, seed=seed)
     complete = drop_incomplete(anchor(distances), keys)
-    return group_report(
-        complete, assignments, keys, n_actors=len(names), p_values=p_values
-    )
+    return group_report(complete, assignments, keys, p_values=p_values)
 
 
 def null_significance(

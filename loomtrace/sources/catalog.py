@@ -12,8 +12,6 @@ DATASET_ALIASES = {"nextcloud": "Nextcloud", "wordpress": "WordPress", "wp": "Wo
 LOG_KEYS = ("audit", "auth", "nextcloud", "syslog")
 MISSING_LOGS = (("WordPress", "nextcloud"),)
 
-MAX_ACTORS = 100_000
-
 
 def dataset_name(alias: str) -> str:
     """Canonical dataset name of an alias."""
@@ -63,25 +61,6 @@ def actor_groups(actors: DataFrame, marker: str = "GPT") -> DataFrame:
     )
 
 
-def actor_names(actors: DataFrame, *, limit: int = MAX_ACTORS) -> list[str]:
-    """Sorted actor names on the driver. More than `limit` is an error, not a cut."""
-    rows = actors.select("actor").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} actors; keep them in a table instead")
-    if not rows:
-        raise ValueError("no actors found")
-    return sorted(r["actor"] for r in rows)
-
-
-def split_by_class(names: Sequence[str], marker: str = "GPT") -> tuple[list[str], list[str]]:
-    """(humans, ais), each sorted; an empty side is an error."""
-    humans = sorted(n for n in names if marker not in n)
-    ais = sorted(n for n in names if marker in n)
-    if not humans or not ais:
-        raise ValueError("need at least one actor in each class")
-    return humans, ais
-
-
 def log_key(name: str) -> str:
     """Key of a log with or without its `.log` ending."""
     key = name[: -len(".log")] if name.endswith(".log") else name
@@ -143,6 +122,11 @@ def pick_actors(
     return actors.withColumn("_rank", rank).where(F.col("_rank") <= quota).drop("_rank")
 
 
+def named_actors(actors: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The actors of a list; a name that is not there gives no row."""
+    return actors.where(F.col("actor").isin(*names))
+
+
 def log_type_of_file(name: Column) -> Column:
     """Coarse log type from a file name; the first hit wins."""
     low = F.lower(name)

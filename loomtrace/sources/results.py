@@ -54,7 +54,7 @@ def statistics_rows(
     *,
     approach: str,
     distance_name: Column,
-    labels: Sequence[str],
+    labels: Column,
     hyperparameters: Column,
 ) -> DataFrame:
     """A group report in the layout of a statistics file; nested parts are JSON text."""
@@ -74,7 +74,7 @@ def statistics_rows(
         stamp.alias("timestamp_utc"),
         F.lit(approach).alias("approach"),
         distance_name.alias("distance_name"),
-        F.to_json(F.array(*[F.lit(n) for n in labels])).alias("ordered_labels_json"),
+        F.to_json(labels).alias("ordered_labels_json"),
         F.to_json(hyperparameters).alias("hyperparameters_json"),
         F.to_json(F.struct(*[summary(c) for c in CLASSES])).alias("group_summaries_json"),
         F.to_json(silhouette).alias("silhouette_json"),

@@ -1,3 +1,5 @@
+from itertools import combinations
+
 import math
 
 import pytest
@@ -66,14 +68,11 @@ def test_silhouette_and_labelings(spark):
     assert got["silhouette_human_mean"] == pytest.approx(0.6)
     assert got["silhouette_overall_mean"] == pytest.approx(0.7)
     assert got["ai_ai_std"] == 0.0 and got["ai_human_n"] == 4
-    names = [r["actor"] for r in actors.collect()]
-    assert gs.indexed_assignments(spark, names).select("idx").distinct().count() == 5
+    assert gs.indexed_assignments(actors).select("idx").distinct().count() == 5
     assert gs.n_assignments(10, 4) == 209 and gs.n_assignments(8, 4) == 69
     with pytest.raises(ValueError):
-        gs.indexed_assignments(spark, names, indices=[5])
-    with pytest.raises(ValueError):
-        gs.indexed_assignments(spark, names, limit=2)
-    drawn = gs.sampled_assignments(spark, names, 4).groupBy("idx").agg(F.count_if(F.col("label") == "ai").alias("n"))
+        gs.indexed_assignments(actors, indices=[5])
+    drawn = gs.sampled_assignments(actors, 4).groupBy("idx").agg(F.count_if(F.col("label") == "ai").alias("n"))
     assert [r["n"] for r in drawn.collect()] == [2] * 4
 
 
@@ -107,9 +106,37 @@ def test_ranks(spark):
     assert all(got[i][f"{ranking.CORE[1]}_norm"] == 1.0 for i in (1, 2, 3))
 
 
-def test_outer_splits():
-    assert len(splits.outer_splits([f"H{i}" for i in range(6)], [f"GPT{i}" for i in range(4)])) == 360
-    assert len(splits.outer_splits([f"H{i}" for i in range(4)], [f"GPT{i}" for i in range(4)])) == 144
+@pytest.mark.parametrize("side", ["ai", "human"])
+def test_labelings_come_in_lexicographic_order(spark, side):
+    names = ["GPT1", "GPT2", "H1", "H2", "H3"]
+    actors = spark.createDataFrame([(n,) for n in names], "actor string")
+    true = tuple(n for n in names if n.startswith("GPT") == (side == "ai"))
+    want = [s for s in combinations(names, len(true)) if s != true]
+    got = {}
+    for r in gs.indexed_assignments(actors, side=side).collect():
+        got.setdefault(r["idx"], set())
+        if r["label"] == side:
+            got[r["idx"]].add(r["actor"])
+    assert [got[i] for i in range(len(want))] == [set(s) for s in want]
+    some = gs.indexed_assignments(actors, side=side, indices=[3, 7]).where(F.col("label") == side).collect()
+    assert {(r["idx"], r["actor"]) for r in some} == {(i, a) for i in (3, 7) for a in want[i]}
+
+
+def test_many_labelings_need_no_list(spark):
+    actors = spark.createDataFrame([(f"{'GPT' if i % 2 else 'H'}{i:02d}",) for i in range(60)], "actor string")
+    total = gs.n_assignments(60, 30)
+    last = gs.indexed_assignments(actors, indices=[0, total - 1]).where("label = 'ai'").groupBy("idx").count().collect()
+    assert {(r["idx"], r["count"]) for r in last} == {(0, 30), (total - 1, 30)}
+    assert gs.labeling_counts(actors).first()["n"] == total
+
+
+@pytest.mark.parametrize("humans, n", [(6, 360), (4, 144)])
+def test_outer_splits(spark, humans, n):
+    actors = spark.createDataFrame([(f"H{i}",) for i in range(humans)] + [(f"GPT{i}",) for i in range(4)], "actor string")
+    found = splits.outer_splits(actors).collect()
+    assert sorted(r["outer_i"] for r in found) == list(range(n))
+    assert len({tuple(r)[1:] for r in found}) == n
+    assert splits.outer_splits(actors, limit=5).count() == 5
 
 
 def test_fixed_split_errors(spark):

@@ -93,5 +93,3 @@ def test_catalog_errors():
         catalog.log_key("mail")
     with pytest.raises(ValueError):
         catalog.resolve_logs("wp", "nextcloud")
-    with pytest.raises(ValueError):
-        catalog.split_by_class(["H1", "H2"])
