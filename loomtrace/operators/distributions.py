@@ -70,9 +70,9 @@ def totals(counts: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 
 
 def probabilities(counts: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """Counts with each token's share of its actor."""
+    """Counts with each token's share of its actor; one total per actor is broadcast."""
     keys = [*group, "actor"]
-    return counts.join(totals(counts, group), keys).withColumn(
+    return counts.join(F.broadcast(totals(counts, group)), keys).withColumn(
         "prob", F.col("cnt") / F.col("total")
     )
 
@@ -147,7 +147,8 @@ def pair_distances(
     if min_count > 1:
         return _filtered_distances(counts, listed, group, min_count, tasks_per_token)
     keys = [*group, "actor_1", "actor_2"]
-    shares = counts.join(size, [*group, "actor"]).select(
+    # One row per actor, and every pair of actors is listed below.
+    shares = counts.join(F.broadcast(size), [*group, "actor"]).select(
         *group, "actor", "token", (F.col("cnt") / F.col("total")).alias("p")
     )
     p, q = F.col("p_1"), F.col("p_2")
@@ -191,7 +192,7 @@ def _filtered_distances(
         .withColumn("t1", F.col("big_1") + F.col("x1"))
         .withColumn("t2", F.col("big_2") + F.col("x2"))
     )
-    sized = shared.join(grid.select(*keys, "t1", "t2"), keys)
+    sized = shared.join(F.broadcast(grid.select(*keys, "t1", "t2")), keys)
     p, q = c1 / F.col("t1"), c2 / F.col("t2")
     mid = (p + q) / 2
     sums = sized.groupBy(*keys).agg(

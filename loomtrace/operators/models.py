@@ -271,9 +271,9 @@ def predict_linear(
     """
     ready = balanced(split).withColumn("target", (F.col("label") == "human").cast("double"))
     train = ready.where(F.col("part") == "train")
-    n_train = max(1, train.count())
-    held = train.coalesce(math.ceil(n_train / ROWS_PER_TASK)).persist()
-    model = fit_linear(held, candidate, n_train)
+    held = train.persist()
+    n_train = max(1, held.count())
+    model = fit_linear(held.coalesce(math.ceil(n_train / ROWS_PER_TASK)), candidate, n_train)
     held.unpersist()
     out = model.transform(ready.drop("weight"))
     positive = F.col("prediction") > (0.0 if candidate.model == "ridge" else 0.5)

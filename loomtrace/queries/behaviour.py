@@ -8,12 +8,13 @@ from loomtrace.functions import fields
 from loomtrace.operators import audit, sequences, templates, timing, windows
 from loomtrace.operators import groupstats as gs
 from loomtrace.plans import complexity, load
-from loomtrace.plans.ordered import along, largest_key
+from loomtrace.plans.ordered import along
 from loomtrace.queries.base import query
 from loomtrace.queries.groups import R, rounded
 from loomtrace.queries.sources import q_mask
 from loomtrace.sources import catalog
 from loomtrace.sources.testviews import (
+    PLACES,
     V_CHAT,
     V_EVENTS,
     V_LINES,
@@ -25,22 +26,13 @@ from loomtrace.sources.testviews import (
 )
 
 
-def events_per_actor(spark, sf) -> int:
-    """Events of the busiest actor: bounds every ordered pass over events."""
-    return largest_key(v_events(spark, sf).select("actor"), ["actor"])
-
-
 def numbered_lines(spark, sf):
     """Document lines with a line number that follows (doc_id, pos)."""
-    return v_lines(spark, sf).withColumn("line_no", F.col("doc_id") * 100_000 + F.col("pos"))
-
-
-def lines_per_log(spark, sf) -> int:
-    return largest_key(v_lines(spark, sf).select("actor", "log_type"), ["actor", "log_type"])
+    return v_lines(spark, sf).withColumn("line_no", F.col("doc_id") * PLACES + F.col("pos"))
 
 
 POSITIONED = f"""{V_LINES},
-pl AS (SELECT actor, log_type, doc_id * 100000 + pos AS line_no, text,
+pl AS (SELECT actor, log_type, doc_id * {PLACES} + pos AS line_no, text,
          row_number() OVER (PARTITION BY actor, log_type ORDER BY doc_id, pos) - 1 AS p FROM v_lines)"""
 
 
@@ -61,7 +53,6 @@ def window_sql(size: int, stride: int, keep: bool, sep: str, source: str = "pl",
 def line_windows(spark, sf):
     return windows.line_windows(
         numbered_lines(spark, sf), ["actor", "log_type"], ["line_no"], size=4, stride=2,
-        bound=lines_per_log(spark, sf),
     )
 
 
@@ -72,7 +63,7 @@ def line_windows(spark, sf):
 def line_windows_with_tail(spark, sf):
     return windows.line_windows(
         numbered_lines(spark, sf), ["actor", "log_type"], ["line_no"], size=5, stride=7,
-        drop_last=False, bound=lines_per_log(spark, sf),
+        drop_last=False,
     )
 
 
@@ -98,7 +89,6 @@ def event_ids(spark, sf):
 def id_windows(spark, sf):
     return windows.id_windows(
         event_ids(spark, sf), ["actor", "log_type"], ["ts", "line_no"], size=10, stride=5,
-        bound=events_per_actor(spark, sf),
     )
 
 
@@ -109,7 +99,7 @@ def id_windows(spark, sf):
 )
 def motifs(spark, sf):
     placed = along(
-        event_ids(spark, sf), ["actor"], ["ts", "line_no"], bound=events_per_actor(spark, sf)
+        event_ids(spark, sf), ["actor"], ["ts", "line_no"]
     ).positions()
     return sequences.motif_counts(placed.frame(), ["actor"], [(3, 1)])
 
@@ -126,7 +116,7 @@ gps AS (SELECT actor, log_type, gap_pos, gap FROM gap WHERE before IS NOT NULL)"
 
 def log_gaps(spark, sf):
     return timing.gaps(
-        timing.event_times(v_logs(spark, sf)), ["actor", "log_type"], bound=2 * events_per_actor(spark, sf)
+        timing.event_times(v_logs(spark, sf)), ["actor", "log_type"]
     )
 
 
@@ -140,10 +130,10 @@ def gaps(spark, sf):
     "i2_gap_transform",
     f"""WITH {GAPS} SELECT actor, log_type, gap_pos,
         round(log10((greatest(0.0, least(gap, 3600.0))::FLOAT + 1e-6::FLOAT)::DOUBLE)::FLOAT::DOUBLE, 5) AS value
-      FROM gps WHERE log_type = 'syslog'""",
+      FROM gps""",
 )
 def gap_transform(spark, sf):
-    found = log_gaps(spark, sf).where(F.col("log_type") == "syslog")
+    found = log_gaps(spark, sf)
     value = timing.transform_gap(F.col("gap"), unit="log10_seconds", clip_max=3600.0, epsilon=1e-6)
     return found.select("actor", "log_type", "gap_pos", F.round(value.cast("double"), 5).alias("value"))
 
@@ -230,7 +220,7 @@ def examples_lines(spark, sf):
     logs = v_logs(spark, sf)
     labels = gs.true_assignment(catalog.discover_actors(v_events(spark, sf)))
     config = load.LoadConfig(preprocess="soft", window="lines", size=2, stride=1)
-    return load.examples(logs, labels, config, bound=2 * events_per_actor(spark, sf))
+    return load.examples(logs, labels, config)
 
 
 @query("s9_examples_ids")
@@ -238,7 +228,7 @@ def examples_ids(spark, sf):
     """Windows over mined template ids of every log."""
     labels = gs.true_assignment(catalog.discover_actors(v_events(spark, sf)))
     config = load.LoadConfig(preprocess="soft", window="cids", size=20, stride=10, type_prefix=False)
-    found = load.examples(v_logs(spark, sf), labels, config, bound=2 * events_per_actor(spark, sf))
+    found = load.examples(v_logs(spark, sf), labels, config)
     return found.select("actor", "log_type", "label", "line_no", "n", "text")
 
 
@@ -268,7 +258,7 @@ def event_bundles(spark, sf):
 
 def event_clusters(spark, sf):
     return audit.clusters(
-        audit.interactive(event_bundles(spark, sf)), window=GAP, bound=events_per_actor(spark, sf)
+        audit.interactive(event_bundles(spark, sf)), window=GAP
     )
 
 
@@ -310,7 +300,7 @@ def time_clusters(spark, sf):
 
 @query("a7_cluster_deltas", f"WITH {BUNDLES} SELECT actor, cluster, round(delta, 3) AS delta FROM dlt")
 def cluster_deltas(spark, sf):
-    found = audit.cluster_deltas(event_clusters(spark, sf), bound=events_per_actor(spark, sf))
+    found = audit.cluster_deltas(event_clusters(spark, sf))
     return found.select("actor", "cluster", F.round("delta", 3).alias("delta"))
 
 
@@ -320,7 +310,7 @@ def cluster_deltas(spark, sf):
       FROM dlt WHERE after_match GROUP BY actor""",
 )
 def delay_after_command(spark, sf):
-    found = audit.cluster_deltas(event_clusters(spark, sf), bound=events_per_actor(spark, sf))
+    found = audit.cluster_deltas(event_clusters(spark, sf))
     return found.where("after_match").groupBy("actor").agg(
         F.count("*").alias("n"),
         F.round(F.avg("delta"), 5).alias("mean_delay"),
@@ -334,7 +324,7 @@ def delay_after_command(spark, sf):
         max(k) AS num_clusters FROM bnd b JOIN (SELECT actor, count(*) AS k FROM cls GROUP BY actor) c ON c.actor = b.actor GROUP BY b.actor""",
 )
 def timing_summary(spark, sf):
-    return audit.timing_summary(event_bundles(spark, sf), window=GAP, bound=events_per_actor(spark, sf))
+    return audit.timing_summary(event_bundles(spark, sf), window=GAP)
 
 
 @query(
@@ -345,7 +335,7 @@ def timing_summary(spark, sf):
         * (pow(10, lo + st * (bin + 1)) - pow(10, lo + st * bin))), {R}) AS density FROM h""",
 )
 def log_histogram(spark, sf):
-    deltas = audit.cluster_deltas(event_clusters(spark, sf), bound=events_per_actor(spark, sf))
+    deltas = audit.cluster_deltas(event_clusters(spark, sf))
     bins = audit.log_histogram(deltas)
     return bins.select("actor", "bin", "n", F.round("left", 6).alias("left"), F.round("density", R).alias("density"))
 
@@ -465,16 +455,21 @@ def gated_profile(spark, sf):
     return found.select("user_id", "n_rows", "n_distinct", F.round("kurtosis", 6).alias("kurtosis"))
 
 
-def _scalar_sql(source: str, suffix: str) -> str:
-    """Per-actor scalars over `source` (actor, token, cnt) named with a suffix."""
+def _scalar_sql(source: str, suffix: str, distinct: int) -> str:
+    """Per-actor scalars over `source` (actor, token, cnt) named with a suffix.
+
+    Below 20 rows there are none, and below `distinct` items no kurtosis.
+    """
     s = suffix
     return f"""
 r{s} AS (SELECT actor, cnt::DOUBLE AS c, row_number() OVER (PARTITION BY actor ORDER BY cnt) AS i,
         sum(cnt) OVER (PARTITION BY actor) AS s, avg(cnt) OVER (PARTITION BY actor) AS mu FROM {source}),
 q{s} AS (SELECT actor, 2.0::DOUBLE * count(*) AS n, 2 * sum((c - mu) ** 2) AS m2, 2 * sum((c - mu) ** 4) AS m4,
         2 * sum(i * c) / (count(*) * sum(c)) - (count(*) + 1) / count(*) AS gini,
-        -sum(c / s * log2(c / s)) AS entropy, avg(abs(c - mu)) AS mad FROM r{s} GROUP BY actor),
-k{s} AS (SELECT actor, gini, entropy, mad, CASE WHEN m2 > 0 THEN {KURTOSIS} END AS kurtosis FROM q{s})"""
+        -sum(c / s * log2(c / s)) AS entropy, avg(abs(c - mu)) AS mad, sum(c) AS total FROM r{s} GROUP BY actor),
+k{s} AS (SELECT actor, CASE WHEN total >= 20 THEN gini END AS gini, CASE WHEN total >= 20 THEN entropy END AS entropy,
+        CASE WHEN total >= 20 THEN mad END AS mad,
+        CASE WHEN total >= 20 AND n >= 2 * {distinct} AND m2 > 0 THEN {KURTOSIS} END AS kurtosis FROM q{s})"""
 
 
 def _pairs_named(source: str, suffix: str) -> str:
@@ -490,7 +485,7 @@ def profile_sql(size: int, stride: int) -> str:
     return f"""SELECT * FROM (WITH {IDS}, {window_sql(size, stride, False, ' ', text='cid::VARCHAR')},
       ci AS (SELECT actor, cid AS token, count(*) AS cnt FROM pl GROUP BY ALL),
       cs AS (SELECT actor, text AS token, count(*) AS cnt FROM c GROUP BY ALL),
-      {_scalar_sql('ci', '1')}, {_scalar_sql('cs', '2')}, {_pairs_named('ci', '1')}, {_pairs_named('cs', '2')}
+      {_scalar_sql('ci', '1', 3)}, {_scalar_sql('cs', '2', 4)}, {_pairs_named('ci', '1')}, {_pairs_named('cs', '2')}
       SELECT {size}::BIGINT AS size, {stride}::BIGINT AS stride, d1.actor_1, d1.actor_2, {cells},
         round(d1.l1, 6) AS l1, round(d1.js, 6) AS js, round(d2.l1, 6) AS l1_seq, round(d2.js, 6) AS js_seq
       FROM d1 JOIN d2 USING (actor_1, actor_2) JOIN k1 x ON x.actor = d1.actor_1 JOIN k1 y ON y.actor = d1.actor_2
@@ -499,7 +494,7 @@ def profile_sql(size: int, stride: int) -> str:
 
 def event_profiles(spark, sf, settings):
     return complexity.pairwise_complexity(
-        event_ids(spark, sf), ["ts", "line_no"], settings=settings, bound=events_per_actor(spark, sf)
+        event_ids(spark, sf), ["ts", "line_no"], settings=settings
     )
 
 
@@ -548,7 +543,21 @@ m AS (SELECT actor, log_type, line_no, {q_mask('text', 'log_type')} AS text FROM
 d AS (SELECT log_type, text, count(*) AS cnt, min((actor, line_no)) AS first FROM m GROUP BY ALL)"""
 
 
-@query("t1_templates")
+# The lines of a leaf (type, length, first three tokens) are so alike here that they are one
+# cluster, so its template has a wildcard wherever they differ.
+LEAF_TOKEN = """CASE WHEN n <= {i} THEN '' WHEN regexp_matches(tk[{i}], '[0-9]') THEN '<*>' ELSE tk[{i}] END"""
+MINED = f"""{EXACT},
+tks AS (SELECT *, len(tk) AS n FROM (SELECT log_type, text, cnt, first,
+          list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS tk FROM d)),
+lvs AS (SELECT *, {", ".join(LEAF_TOKEN.format(i=i) + f" AS t{i}" for i in (1, 2, 3))} FROM tks),
+cel AS (SELECT log_type, n, t1, t2, t3, unnest(tk) AS token, generate_subscripts(tk, 1) AS i FROM lvs),
+plc AS (SELECT log_type, n, t1, t2, t3, i, CASE WHEN count(DISTINCT token) > 1 THEN '<*>' ELSE min(token) END AS token FROM cel GROUP BY ALL),
+txt AS (SELECT log_type, n, t1, t2, t3, string_agg(token, ' ' ORDER BY i) AS template FROM plc GROUP BY ALL),
+brn AS (SELECT log_type, n, t1, t2, t3, min(first) AS born, sum(cnt)::BIGINT AS cnt FROM lvs GROUP BY ALL),
+tpl AS (SELECT *, row_number() OVER (PARTITION BY log_type ORDER BY born) AS cid FROM brn JOIN txt USING (log_type, n, t1, t2, t3))"""
+
+
+@query("t1_templates", f"WITH {MINED} SELECT log_type, cid, template, cnt FROM tpl")
 def mined_templates(spark, sf):
     """Templates of every log type with the published settings."""
     mined = templates.mine_templates(masked_logs(spark, sf), ["actor", "line_no"])

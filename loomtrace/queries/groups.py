@@ -227,7 +227,7 @@ def shuffled_labels(spark, sf):
 
 @query("p3_null_labelings", f"WITH {EVENT_COUNTS}, {SUBSETS} SELECT idx, actor, label FROM asg")
 def null_labelings(spark, sf):
-    return gs.indexed_assignments(spark, catalog.actor_names(event_actors(spark, sf)))
+    return gs.indexed_assignments(event_actors(spark, sf))
 
 
 @query(
@@ -236,10 +236,7 @@ def null_labelings(spark, sf):
         (SELECT count(*) FROM lab WHERE label = 'ai') AS ais FROM sub""",
 )
 def labeling_count(spark, sf):
-    names = catalog.actor_names(event_actors(spark, sf))
-    _, ais = catalog.split_by_class(names)
-    n = gs.n_assignments(len(names), len(ais))
-    return spark.createDataFrame([(n, len(names), len(ais))], "n long, actors long, ais long")
+    return gs.labeling_counts(event_actors(spark, sf)).withColumnRenamed("mine", "ais")
 
 
 @query(
@@ -252,8 +249,7 @@ def labeling_count(spark, sf):
       SELECT idx, actor, CASE WHEN list_contains(hs, actor) THEN 'human' ELSE 'ai' END AS label FROM sub CROSS JOIN lab""",
 )
 def human_labelings(spark, sf):
-    names = catalog.actor_names(catalog.discover_actors(v_lines(spark, sf)))
-    return gs.indexed_assignments(spark, names, side="human")
+    return gs.indexed_assignments(catalog.discover_actors(v_lines(spark, sf)), side="human")
 
 
 @query(
@@ -292,9 +288,8 @@ def class_summary(spark, sf):
         round(2 * u / nm - 1, {R}) AS cliffs_delta FROM uts""",
 )
 def cliffs_delta(spark, sf):
-    names = catalog.actor_names(event_actors(spark, sf))
-    labelled = gs.label_pairs(event_distances(spark, sf), gs.indexed_assignments(spark, names))
-    tests = gs.separation_tests(labelled, ["metric", "idx"], bound=len(names) ** 2)
+    labelled = gs.label_pairs(event_distances(spark, sf), gs.indexed_assignments(event_actors(spark, sf)))
+    tests = gs.separation_tests(labelled, ["metric", "idx"])
     return rounded(tests.select("metric", "idx", "test", "u", "cliffs_delta"), "cliffs_delta")
 
 
@@ -330,8 +325,7 @@ def mann_whitney(spark, sf):
       SELECT metric, idx, {_rounded_list(SIL_COLUMNS)} FROM sls""",
 )
 def silhouette(spark, sf):
-    names = catalog.actor_names(event_actors(spark, sf))
-    labelled = gs.label_pairs(event_distances(spark, sf), gs.indexed_assignments(spark, names))
+    labelled = gs.label_pairs(event_distances(spark, sf), gs.indexed_assignments(event_actors(spark, sf)))
     return rounded(gs.silhouette_summary(labelled, ["metric", "idx"]), *SIL_COLUMNS)
 
 
@@ -473,6 +467,11 @@ def empirical_p_right(spark, sf):
     return _significance(spark, sf, "right")
 
 
+@query("h4_empirical_p_left", _p_sql("left"))
+def empirical_p_left(spark, sf):
+    return _significance(spark, sf, "left")
+
+
 @query("h4_empirical_p_two_sided", _p_sql("two-sided"))
 def empirical_p_two_sided(spark, sf):
     return _significance(spark, sf, "two-sided")

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtrace.operators import attribution, evaluation, features, models, neighbours, splits
-from loomtrace.operators import windows
+from loomtrace.operators import timing, windows
 from loomtrace.plans import nested
+from loomtrace.plans.ordered import along
 from loomtrace.queries.base import query
 from loomtrace.queries.behaviour import GAPS, log_gaps
 from loomtrace.queries.groups import R, rounded
+from loomtrace.session import anchor
 from loomtrace.sources import catalog
 from loomtrace.sources.testviews import (
+    PLACES,
     V_CHAT,
     V_EMB,
     V_EVENTS,
@@ -78,18 +81,13 @@ def group_split(spark, sf):
     return split.groupBy("group", "part").agg(F.count("*").alias("n"))
 
 
-def actor_classes(spark, sf):
-    names = catalog.actor_names(catalog.discover_actors(v_events(spark, sf)))
-    return catalog.split_by_class(names)
-
-
 @query(
     "k4_class_pairs",
     f"""WITH {LABELLED}, a AS (SELECT DISTINCT actor, label FROM lev)
       SELECT h.actor AS human, g.actor AS ai FROM a h JOIN a g ON h.label = 'human' AND g.label = 'ai'""",
 )
 def class_pairs(spark, sf):
-    return spark.createDataFrame(splits.class_pairs(*actor_classes(spark, sf)), "human string, ai string")
+    return splits.class_pairs(catalog.discover_actors(v_events(spark, sf)))
 
 
 OUTER = """out AS (SELECT vh.actor AS val_human, va.actor AS val_ai, th.actor AS test_human, ta.actor AS test_ai
@@ -102,7 +100,7 @@ OUTER = """out AS (SELECT vh.actor AS val_human, va.actor AS val_ai, th.actor AS
     f"WITH {LABELLED}, act AS (SELECT DISTINCT actor, label FROM lev), {OUTER} SELECT * FROM out",
 )
 def outer_splits(spark, sf):
-    return splits.split_table(spark, splits.outer_splits(*actor_classes(spark, sf))).drop("outer_i")
+    return splits.outer_splits(catalog.discover_actors(v_events(spark, sf))).drop("outer_i")
 
 
 SIZES = f"""{LABELLED}, act AS (SELECT DISTINCT actor, label FROM lev), {OUTER},
@@ -115,8 +113,9 @@ siz AS (SELECT val_human, val_ai, test_human, test_ai,
 def split_counts(spark, sf):
     """Rows per outer split and part, from rows per actor: events are counted once."""
     events = labelled_events(spark, sf)
-    table_ = splits.split_table(spark, splits.outer_splits(*actor_classes(spark, sf)))
-    parts = splits.split_parts(table_, catalog.discover_actors(events))
+    actors = catalog.discover_actors(events)
+    table_ = splits.outer_splits(actors)
+    parts = splits.split_parts(table_, actors)
     per_actor = events.groupBy("actor").agg(F.count("*").alias("n"))
     sums = [F.sum(F.when(F.col("part") == p, F.col("n"))).alias(f"n_{p}") for p in splits.PARTS]
     counted = parts.join(per_actor, "actor").groupBy("outer_i").agg(*sums)
@@ -226,11 +225,12 @@ def char_ngrams(spark, sf):
 
 
 def text_features(spark, sf, spec):
+    """Term counts are read for the vocabulary, the weights and the models, so they are pinned."""
     docs = documents(spark, sf)
-    counts = features.term_counts(docs, spec)
+    counts = anchor(features.term_counts(docs, spec))
     train = docs.where("part = 'train'").select("example_id", "label")
     n_train = train.agg(F.count("*").alias("n"))
-    vocab = features.vocabulary(counts.join(train, "example_id", "left_semi"), n_train, spec)
+    vocab = anchor(features.vocabulary(counts.join(train, "example_id", "left_semi"), n_train, spec))
     return docs, train, counts, vocab
 
 
@@ -262,23 +262,25 @@ def presence(spark, sf):
 
 
 def padded_windows(spark, sf):
-    """Gap windows of five as examples, two actors held out for each part."""
-    cut = windows.gap_windows(log_gaps(spark, sf), ["actor", "log_type"], size=5)
-    rows = cut.where("log_type = 'syslog'").select(
-        F.concat_ws(":", "actor", "window").alias("name"), "actor", "window", "gaps"
-    )
-    number = F.regexp_extract("actor", "([0-9]+)", 1).cast("long") * 10_000_000 + F.col("window")
-    rows = rows.withColumn("example_id", number).withColumn("label", catalog.class_label(F.col("actor")))
-    return splits.fixed_split(rows.drop("name"), ["GPT0", "H4"], ["GPT1", "H5"])
+    """Gap windows of up to five of every log as examples, zeros behind the short ones.
+
+    Two actors are held out for each part. Examples count along (actor, log_type, window).
+    """
+    cut = windows.gap_windows(log_gaps(spark, sf), ["actor", "log_type"], size=5, drop_last=False)
+    rows = along(cut.select("actor", "log_type", "window", "gaps"), [], ["actor", "log_type", "window"])
+    rows = rows.positions("example_id").frame().withColumn("label", catalog.class_label(F.col("actor")))
+    split = splits.fixed_split(rows, ["GPT0", "H4"], ["GPT1", "H5"])
+    return timing.pad_arrays(split, "gaps", timing.padded_length(split, "gaps"))
 
 
 WINDOWS = f"""{GAPS},
-cel AS (SELECT CAST(regexp_extract(actor, '[0-9]+') AS BIGINT) * 10000000 + gap_pos // 5 AS example_id, gap_pos % 5 AS i,
-          gap::DOUBLE AS x, CASE WHEN contains(actor, 'GPT') THEN 'ai' ELSE 'human' END AS label,
-          CASE WHEN actor IN ('GPT0', 'H4') THEN 'val' WHEN actor IN ('GPT1', 'H5') THEN 'test' ELSE 'train' END AS part,
-          count(*) OVER (PARTITION BY actor, gap_pos // 5) AS n
-        FROM gps WHERE log_type = 'syslog'),
-win AS (SELECT * FROM cel WHERE n = 5)"""
+wdw AS (SELECT *, row_number() OVER (ORDER BY actor, log_type, w) - 1 AS example_id
+        FROM (SELECT actor, log_type, gap_pos // 5 AS w, count(*) AS n FROM gps GROUP BY ALL)),
+prt AS (SELECT *, CASE WHEN contains(actor, 'GPT') THEN 'ai' ELSE 'human' END AS label,
+          CASE WHEN actor IN ('GPT0', 'H4') THEN 'val' WHEN actor IN ('GPT1', 'H5') THEN 'test' ELSE 'train' END AS part FROM wdw),
+win AS (SELECT example_id, label, part, i, coalesce(gap, 0)::DOUBLE AS x
+        FROM prt CROSS JOIN (SELECT unnest(range((SELECT max(n) FROM prt WHERE part = 'train'))) AS i)
+        LEFT JOIN gps g ON g.actor = prt.actor AND g.log_type = prt.log_type AND gap_pos = 5 * w + i)"""
 
 
 @query(
@@ -443,13 +445,35 @@ vot AS (SELECT example_id, k, label, sum(w) AS w FROM (SELECT *, 1.0 AS w FROM r
       QUALIFY row_number() OVER (PARTITION BY example_id, k ORDER BY w DESC, label) = 1""",
 )
 def nearest_neighbours(spark, sf):
+    return _votes(spark, sf, "uniform")
+
+
+def _votes(spark, sf, weights):
     rows = padded_windows(spark, sf).select(
         F.col("example_id").alias("id"),
         F.transform("gaps", lambda x: x.cast("double")).alias("vector"),
         "label",
         "part",
     )
-    return neighbours.knn_vote(rows.where("part <> 'train'"), rows.where("part = 'train'"), [3, 7])
+    return neighbours.knn_vote(
+        rows.where("part <> 'train'"), rows.where("part = 'train'"), [3, 7], weights=weights
+    )
+
+
+# A neighbour counts 1 / distance; those at distance 0 decide alone.
+WEIGHED = """
+nbr AS (SELECT example_id, k, label, d, min(d) OVER (PARTITION BY example_id, k) = 0 AS touch FROM rnk, (VALUES (3), (7)) g(k) WHERE r <= k),
+wvt AS (SELECT example_id, k, label, sum(CASE WHEN touch THEN CASE WHEN d = 0 THEN 1.0::DOUBLE ELSE 0 END ELSE 1 / d END) AS w
+        FROM nbr GROUP BY ALL)"""
+
+
+@query(
+    "m8_distance_weights",
+    f"""WITH {WINDOWS}, {NEAR}, {WEIGHED} SELECT example_id AS id, k::BIGINT AS k, label AS y_pred FROM wvt
+      QUALIFY row_number() OVER (PARTITION BY example_id, k ORDER BY round(w, 9) DESC, label) = 1""",
+)
+def distance_weights(spark, sf):
+    return _votes(spark, sf, "distance")
 
 
 def _linear(spark, sf, candidate):
@@ -474,6 +498,11 @@ def sgd_objective(spark, sf):
     return _linear(spark, sf, models.Candidate("sgd_log", {"alpha": 1e-4}))
 
 
+@query("m4_sgd_hinge")
+def sgd_hinge(spark, sf):
+    return _linear(spark, sf, models.Candidate("sgd_hinge", {"alpha": 1e-4}))
+
+
 @query("m5_ridge")
 def ridge(spark, sf):
     return _linear(spark, sf, models.Candidate("ridge", {"alpha": 1.0}))
@@ -482,7 +511,7 @@ def ridge(spark, sf):
 @query("m9_random_forest")
 def random_forest(spark, sf):
     rows = models.dense_rows(padded_windows(spark, sf), "gaps")
-    found = models.predict_linear(rows, models.Candidate("rf", {"n_estimators": 20, "max_depth": 5}))
+    found = models.predict_linear(rows, models.Candidate("rf"))
     named = found.select(F.lit("rf").alias("run_id"), "part", F.col("label").alias("y_true"), "y_pred")
     return evaluation.scores(named)
 
@@ -501,13 +530,12 @@ def nested_text(spark, sf):
     """Two outer splits over two views of the documents with Bayes candidates."""
     docs = documents(spark, sf).drop("part")
     lines = v_lines(spark, sf).select(
-        (F.col("doc_id") * 100_000 + F.col("pos")).alias("example_id"),
+        (F.col("doc_id") * PLACES + F.col("pos")).alias("example_id"),
         "actor",
         catalog.class_label(F.col("actor")).alias("label"),
         "text",
     )
-    names = catalog.actor_names(catalog.discover_actors(lines))
-    combos = splits.outer_splits(*catalog.split_by_class(names), limit=2)
+    combos = splits.outer_splits(catalog.discover_actors(lines), limit=2)
     grid = [
         (spec, models.Candidate(m, {"alpha": a}))
         for spec in (WORD1, WORD2)

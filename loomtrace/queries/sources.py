@@ -156,7 +156,7 @@ def written_logs(spark, sf):
     """All printed log lines as files, one folder per actor."""
     where = scratch_path(spark, "logs")
     logs = v_logs(spark, sf).select("actor", "log_type", "text")
-    for kind in ("audit", "syslog", "nextcloud"):
+    for kind in ("audit", "syslog", "nextcloud", "unknown"):
         one = logs.where(F.col("log_type") == kind).select("actor", F.col("text").alias("value"))
         one.write.partitionBy("actor").text(f"{where}/{kind}")
     return where
@@ -165,7 +165,7 @@ def written_logs(spark, sf):
 @query(
     "s4_line_scan",
     f"""WITH {V_LOGS} SELECT log_type, actor, count(*) AS n, sum(length(text))::BIGINT AS chars,
-      true AS numbered FROM v_logs WHERE log_type <> 'unknown' GROUP BY ALL""",
+      true AS numbered FROM v_logs GROUP BY ALL""",
 )
 def line_scan(spark, sf):
     """Log files written and read back: per log, lines and whether numbers run 1..n."""
@@ -418,6 +418,16 @@ def pick_actors(spark, sf):
     return events.join(chosen, "actor", "left_semi").groupBy("actor").agg(F.count("*").alias("n"))
 
 
+@query(
+    "n15_named_actors",
+    f"""WITH {V_EVENTS} SELECT actor, count(*) AS n FROM v_events WHERE actor IN ('H5', 'GPT1', 'H8') GROUP BY actor""",
+)
+def named_actors(spark, sf):
+    events = v_events(spark, sf)
+    chosen = catalog.named_actors(catalog.discover_actors(events), ["H8", "GPT1", "H5", "nobody"])
+    return events.join(F.broadcast(chosen), "actor", "left_semi").groupBy("actor").agg(F.count("*").alias("n"))
+
+
 @query(
     "n16_safe_numbers",
     """SELECT event_id, TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS k,

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Places that a line number leaves for the lines of one document; an array has fewer.
+PLACES = 1 << 31
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One given table; times are UTC whatever zone the session came with."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -218,7 +222,7 @@ def v_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "conversations")
         .where(F.col("role").isin("user", "assistant"))
         .select(
-            (F.col("conv_id") * 1000 + F.col("turn")).alias("example_id"),
+            (F.col("conv_id") * PLACES + F.col("turn")).alias("example_id"),
             F.when(F.col("role") == "assistant", "ai").otherwise("human").alias("label"),
             F.col("conv_id").cast("string").alias("group"),
             F.col("turn").alias("pos"),
@@ -227,9 +231,9 @@ def v_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-V_CHAT = """
+V_CHAT = f"""
 v_chat AS (
-  SELECT conv_id * 1000 + turn AS example_id,
+  SELECT conv_id * {PLACES} + turn AS example_id,
          CASE WHEN role = 'assistant' THEN 'ai' ELSE 'human' END AS label,
          CAST(conv_id AS VARCHAR) AS "group", turn AS pos, text
   FROM conversations WHERE role IN ('user', 'assistant'))"""
