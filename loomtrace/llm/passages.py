@@ -35,6 +35,8 @@ from loomtrace.llm import words as W
 WINDOW, MINIMISER = 20, 3
 #: Effort of compressing the packed strings, which are most of what is shuffled.
 LEVEL = 6
+#: Text bytes whose windows are compared before any is sent.
+BATCH_BYTES = 6 << 20
 #: Text bytes that one bucket stands for; about three times as many reach it.
 BUCKET_BYTES = 3 << 20
 
@@ -95,7 +97,7 @@ _PARTS = T.StructType(
 
 def _send(buckets: int, k: int, m: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slices(batches, "text"):
+        for batch in W.slices(batches, "text", BATCH_BYTES):
             texts = W.texts_of(batch.column("text"))
             words = W.words_of(texts)
             at = W.windows(words, k)

@@ -47,7 +47,7 @@ from loomtrace.llm import words as W
 from loomtrace.session import anchor
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, FAN, CACHE = 1 << 15, 64, 200_000
+CHUNK, FAN, CACHE = 1 << 15, 64, 100_000
 #: Up to this length merging a word is faster than tracing its path, beyond it slower.
 SHORT = 64
 SPACE = "▁"
@@ -197,7 +197,7 @@ class Pieces:
         ]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _pieces(model: bytes) -> Pieces:
     return Pieces(model)
 

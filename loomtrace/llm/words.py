@@ -19,7 +19,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LINE_END = 10
 #: Text bytes handled at once in a task; bounds the memory of the arrays beside them.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xD6E8FEB86659FD93)
