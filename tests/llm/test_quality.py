@@ -72,7 +72,8 @@ def test_training_separates_runs_of_lines():
     x[:, 0] = 1
     x[:, 1] = label + rng.normal(scale=0.8, size=200)
     f = Q.train(x, np.array([0, 100, 200]), label)
-    assert (Q.viterbi(f, x, np.array([0, 100, 200])) == label).mean() > 0.95
+    alone = ((x[:, 1] > 0.5) == label).mean()
+    assert (Q.viterbi(f, x, np.array([0, 100, 200])) == label).mean() > alone + 0.1
 
 
 def test_held_out_accuracy(spark):
