@@ -9,8 +9,12 @@ and gives each candidate a probability; below THRESHOLD it is no secret.
 The dictionary is the DICTIONARY most frequent words of the corpus, counted over all
 texts. Labelled findings are (doc_id, word_index, candidate, label) rows; at most
 PER_CLASS of each label train the forest. Where none have been reviewed,
-``assigned_findings`` takes the candidates that stand in quotes behind a credential name
-and a sign of assignment as secrets, and all others as false positives.
+``assigned_findings`` labels by evidence that is no feature. Secrets are known key
+formats, runs of three kinds of characters with high entropy, and mixed runs with
+entropy that a credential name is set to, quoted or not. False positives are words and
+paths, numbers, and digests that no credential name is set to. All else is doubtful: it
+has no label and only gets a score. Secrets train once more without their context, so that
+neither quotes nor a name are needed.
 
 All of it is columns, joins and Spark ML. Shuffled: word counts combined per task, and
 the findings by document. Candidates stay with their text until they are a few fields.
@@ -38,6 +42,15 @@ TREES, DEPTH, SEED = 32, 6, 11
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 CANDIDATE = rf"[A-Za-z0-9+/_=.\-]{{{LEAST_CHARS},}}"
 CREDENTIAL = r"(token|secret|passw|pwd|passphrase|api_?key|access_?key|auth|credential|bearer|private)"
+KNOWN = (
+    r"(AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|npm_|hf_|[sr]k_(live|test)_|sk-|xox[abeoprs]-|SG\.|dop_v1_|shpat_|eyJ[\w\-]+\.eyJ)[\w.\-]{16,}"
+    r"|hooks\.slack\.com/services/\w"
+)
+SET_TO = CREDENTIAL + r"[\w.\-]*[\"'`\]]*\s*(:=|=>|==?|:|\s(is|was))\s*[\"'`]*$"
+IN_URL = r"://[^/\s:@]*:$"
+DIGEST = r"^([0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$"
+EMBEDDED = r"(data:|base64,|sha(1|256|384|512)[\-:])"
+LEAST_BITS, HEX_BITS, SLACK_BITS = 4.5, 3.0, 0.6
 HARMLESS = r"(sha|commit|hash|md5|digest|uuid|guid|checksum|card|account|phone|order|isbn|version|revision)"
 NEIGHBOURS = 3
 
@@ -58,6 +71,7 @@ FEATURES = (
     "assigned",
     "quoted",
 )
+CONTEXT = ("credential_near", "harmless_near", "assigned", "quoted")
 
 
 def dictionary(docs: DataFrame, most: int = DICTIONARY) -> list[tuple[str, int]]:
@@ -75,7 +89,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     found = words.select("doc_id", "words", F.explode(F.filter(long, lambda x: x["w"].rlike(CANDIDATE))).alias("at"))
     before = F.slice("words", F.greatest(F.col("at.i") - NEIGHBOURS, F.lit(0)) + 1, F.least(F.col("at.i"), F.lit(NEIGHBOURS)))
     found = found.select("doc_id", F.col("at.i").alias("word_index"), F.col("at.w").alias("word"), F.array_join(before, " ").alias("near"))
-    every = F.explode(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1)).alias("candidate")
+    runs = F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1)
+    # Of name=value, the value is the candidate if it is long enough by itself.
+    every = F.explode(F.transform(runs, lambda r: F.regexp_replace(r, f"^.*=(?=[^=]{{{LEAST_CHARS},}}=*$)", ""))).alias("candidate")
     return found.select("doc_id", "word_index", every, "word", F.lower("near").alias("near"))
 
 
@@ -126,15 +142,47 @@ def _transitions(text: Column, known: list[tuple[str, int]]) -> Column:
     return summed / (F.length(text) - 1)
 
 
+def _entropy(text: Column) -> Column:
+    """Bits per character."""
+    size = F.length(text)
+    share = lambda c: (size - F.length(F.replace(text, c, F.lit("")))) / size
+    return F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), lambda s, c: s - share(c) * F.coalesce(F.log2(share(c)), F.lit(0.0)))
+
+
+def _is_words(text: Column) -> Column:
+    """Words, or a path, host or name made of words and short numbers."""
+    pieces = F.filter(F.split(text, r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])"), lambda p: p != "")
+    letters = F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
+    vowels = F.length(F.regexp_replace(text, "[^AEIOUYaeiouy]", ""))
+    plain = F.forall(pieces, lambda p: p.rlike("^([A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}$|^[0-9]{1,4}$"))
+    spoken = (vowels >= 0.25 * letters) & ~text.rlike("(?i)[bcdfghjklmnpqrstvwxz]{7}")
+    return plain & spoken & (letters >= 3.5 * F.size(pieces))
+
+
 def assigned_findings(featured: DataFrame) -> DataFrame:
-    """Labels from the corpus itself: quoted values assigned to a credential name."""
-    is_secret = (F.col("assigned") > 0) & (F.col("quoted") > 0) & (F.col("credential_near") > 0)
-    return featured.withColumn("label", is_secret.cast("double"))
+    """Labels from the corpus itself; doubtful candidates have none and are left out."""
+    text = F.col("candidate")
+    lead = F.concat_ws(" ", "near", F.lower(F.expr("substring_index(word, candidate, 1)")))
+    embedded = lead.rlike(EMBEDDED) | F.lower(text).rlike("^sha(1|256|384|512)-")
+    named = lead.rlike(SET_TO) | (lead.rlike(IN_URL) & F.col("word").rlike("://[^/\\s]*@"))
+    is_hex, has_digit = text.rlike("^[0-9a-fA-F]+$"), text.rlike("[0-9]")
+    has_lower, has_upper = text.rlike("[a-z]"), text.rlike("[A-Z]")
+    least = F.when(is_hex, HEX_BITS).otherwise(F.least(F.lit(LEAST_BITS), F.log2(F.length(text)) - SLACK_BITS))
+    marked = featured.withColumn("_words", _is_words(text)).withColumn("_dense", _entropy(text) >= least)
+    digest, words = text.rlike(DIGEST), F.col("_words")
+    mixed = (has_digit & (has_lower | has_upper)) | (has_lower & has_upper)
+    three = has_digit & has_lower & has_upper & ~is_hex & ~embedded
+    is_secret = ~words & (text.rlike(KNOWN) | (F.col("_dense") & ((named & mixed) | (three & ~text.rlike("[./].*[./]")))))
+    is_harmless = ~named & (words | embedded | digest | text.rlike(r"^[0-9+/_=.\-]*$"))
+    labelled = marked.withColumn("label", F.when(is_secret, 1.0).when(is_harmless, 0.0)).drop("_words", "_dense").dropna(subset=["label"])
+    # Digests are told apart by their context alone and keep it.
+    bare = labelled.filter((F.col("label") > 0) & ~digest)
+    return labelled.unionByName(bare.withColumns({c: F.lit(0.0) for c in CONTEXT}))
 
 
 def fit(labelled: DataFrame, per_class: int = PER_CLASS) -> PipelineModel | float:
     """A forest from featured candidates with a label, or the one label there is."""
-    order = (F.xxhash64("doc_id", "word_index", "candidate"), "doc_id", "word_index", "candidate")
+    order = (F.xxhash64("doc_id", "word_index", "candidate"), "doc_id", "word_index", "candidate", *CONTEXT)
     rows = labelled.select("doc_id", "word_index", "candidate", "label", *FEATURES)
     picked = [rows.filter(F.col("label") == k).orderBy(*order).limit(per_class) for k in (0.0, 1.0)]
     sample = picked[0].unionByName(picked[1]).coalesce(1).cache()

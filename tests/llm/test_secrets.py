@@ -73,3 +73,49 @@ def test_empty_table(documents):
 def test_findings_of_one_kind(documents, label):
     featured = S.with_features(S.candidates(documents(corpus()[:12])), [])
     assert S.fit(featured.withColumn("label", F.lit(label))) == label
+
+
+def planted(seed=9):
+    """(rows, kinds): secrets without quotes or without a name, and what looks like them."""
+    rng = random.Random(seed)
+    prose = ["the", "house", "green", "river", "mountain", "between", "window", "letter", "summer", "garden"]
+    line = lambda n: " ".join(rng.choice(prose) for _ in range(n))
+    run = lambda n, signs="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(rng.choice(signs) for _ in range(n))
+    makes = {
+        "env": lambda: f"DB_PASSWORD={run(24)}",
+        "key": lambda: f"AKIA{run(16, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')}",
+        "url": lambda: f"https://robot:{run(20)}@host.example/path",
+        "block": lambda: run(48) + "==",
+        "quoted": lambda: f'api_key = "{run(32)}"',
+        "commit": lambda: f"commit {run(40, '0123456789abcdef')}",
+        "card": lambda: run(16, "0123456789"),
+        "path": lambda: "/usr/share/documents/letters.txt",
+        "words": lambda: "".join(rng.choice(prose) for _ in range(4)),
+        "name": lambda: "some-garden-window.letters.example",
+    }
+    kinds = list(makes)
+    rows = [(i, f"{line(9)} {makes[kinds[i % len(kinds)]]()} {line(7)}") for i in range(300)]
+    return rows, kinds
+
+
+def test_unquoted_and_bare_secrets_are_found(documents):
+    rows, kinds = planted()
+    got = S.scan(documents(rows)).collect()
+    hit = {k: len({r.doc_id for r in got if r.is_secret and kinds[r.doc_id % len(kinds)] == k}) / 30 for k in kinds}
+    assert all(hit[k] >= 0.95 for k in kinds[:5]), hit
+    assert all(hit[k] <= 0.05 for k in kinds[5:]), hit
+
+
+def test_labels_are_no_rule_over_the_features(documents):
+    rows, kinds = planted()
+    featured = S.with_features(S.candidates(documents(rows)), S.dictionary(documents(rows)))
+    got = S.assigned_findings(featured).collect()
+    assert any(r.label == 1 and not (r.assigned or r.quoted or r.credential_near) for r in got)
+    doubtful = S.with_features(S.candidates(documents([(1, "then k3wq9zj5xv7tb2mh4pfd came")])), [])
+    assert doubtful.count() == 1
+    assert S.assigned_findings(doubtful).count() == 0
+
+
+def test_the_value_of_a_setting_is_the_candidate(documents):
+    got = S.candidates(documents([(1, "export AWS_SECRET=abcdefghij0123456789 a=b"), (2, "pad abcdefghijklmnopqr==")])).orderBy("doc_id").collect()
+    assert [r.candidate for r in got] == ["abcdefghij0123456789", "abcdefghijklmnopqr=="]
