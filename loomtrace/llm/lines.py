@@ -7,9 +7,12 @@ their lines go from all documents but the one of the largest doc_id.
 The index has one row per shard of keys: the exact number of documents that hold each
 key, and a cuckoo filter of the common ones. Inserting documents adds counts, deleting
 them takes counts away; keys that cross the threshold enter or leave the filter, so
-deleting documents gives the index that would have been built without them. The filter
-is small, so it travels to the references; what it lets through (all of the common
-keys, few others) is counted exactly. Shuffled: one packed row per batch and shard with
+deleting documents gives the index that would have been built without them. The index
+also keeps its references, those of deleted documents with a minus sign. The filter is
+small, so it travels to the references; what it lets through (all of the common keys, few
+others) is counted exactly over the whole index, which also says who keeps the line. So a
+batch can be cleaned alone: documents that are in the index lose what they would lose
+beside all others, and documents that are not lose every common line. Shuffled: one packed row per batch and shard with
 each key once, the references, and the documents by id to meet the lines they lose.
 
 Each row counts as a document, also rows that repeat a doc_id; a key stays in all rows
@@ -110,12 +113,17 @@ class CuckooFilter:
 
 
 class LineIndex(NamedTuple):
-    """state: (shard, counts, filter), one row per shard that has keys."""
+    """state: (shard, counts, filter), one row per shard that has keys.
+
+    added and taken: (shard, keys, refs) of the documents inserted and deleted so far.
+    """
 
     state: DataFrame
     shards: int
     least_chars: int = LEAST_CHARS
     least_docs: int = LEAST_DOCS
+    added: DataFrame | None = None
+    taken: DataFrame | None = None
 
 
 _STATE = "shard long, counts binary, filter binary"
@@ -202,20 +210,22 @@ def _updated(sign: int, least_docs: int):
 def _changed(index: LineIndex, parts: DataFrame, sign: int) -> LineIndex:
     keys = parts.select("shard", "keys")
     state = index.state.groupBy("shard").cogroup(keys.groupBy("shard")).applyInArrow(_updated(sign, index.least_docs), _STATE)
-    return index._replace(state=anchor(state))
+    log = "added" if sign > 0 else "taken"
+    old = getattr(index, log)
+    return index._replace(state=anchor(state), **{log: parts if old is None else old.unionByName(parts)})
 
 
 def insert(index: LineIndex, docs: DataFrame) -> LineIndex:
-    return _changed(index, references(docs, index.shards, index.least_chars), 1)
+    return _changed(index, anchor(references(docs, index.shards, index.least_chars)), 1)
 
 
 def delete(index: LineIndex, docs: DataFrame) -> LineIndex:
     """The index without these documents, which it must hold."""
-    return _changed(index, references(docs, index.shards, index.least_chars), -1)
+    return _changed(index, anchor(references(docs, index.shards, index.least_chars)), -1)
 
 
-def lost_lines(index: LineIndex, parts: DataFrame) -> DataFrame:
-    """(doc_id, lost): the keys that each document of ``parts`` loses, as hash pairs."""
+def _common_references(index: LineIndex, parts: DataFrame) -> DataFrame:
+    """(h1, h2, doc) of the references to keys that the filters let through."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,8 +241,20 @@ def lost_lines(index: LineIndex, parts: DataFrame) -> DataFrame:
                 )
 
     probed = parts.join(index.state.select("shard", "filter"), "shard").select("keys", "refs", "filter")
-    held = probed.mapInArrow(probe, "h1 long, h2 long, doc long")
-    holders = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("stays")).filter(F.col("n") >= index.least_docs)
+    return probed.mapInArrow(probe, "h1 long, h2 long, doc long")
+
+
+def lost_lines(index: LineIndex, parts: DataFrame) -> DataFrame:
+    """(doc_id, lost): the keys that each document of ``parts`` loses, as hash pairs."""
+    held = _common_references(index, parts)
+    if index.added is None:
+        return held.select(F.nullif("doc", F.lit(W.NULL_ID)).alias("doc_id"), F.array(F.struct("h1", "h2")).alias("lost")).limit(0)
+    every = (held if index.added is parts else _common_references(index, index.added)).withColumn("n", F.lit(1))
+    if index.taken is not None:
+        gone = _common_references(index, index.taken).withColumn("n", F.lit(-1))
+        every = every.unionByName(gone).groupBy("h1", "h2", "doc").agg(F.sum("n").alias("n"))
+    holders = every.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max(F.when(F.col("n") > 0, F.col("doc"))).alias("stays"))
+    holders = holders.filter(F.col("n") >= index.least_docs)
     gone = held.join(holders, ["h1", "h2"]).filter(F.col("doc") != F.col("stays"))
     return gone.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("lost")).select(F.nullif("doc", F.lit(W.NULL_ID)).alias("doc_id"), "lost")
 

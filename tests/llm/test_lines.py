@@ -107,3 +107,25 @@ def test_cuckoo_filter():
 def test_a_full_filter_says_so():
     h = np.arange(1, 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     assert not lines.CuckooFilter.sized(1).insert(h, h)
+
+
+def test_a_batch_is_cleaned_alone_by_the_whole_index(documents):
+    line = "A line that is longer than forty characters, held by many documents"
+    rows = corpus() + [(100 + i, line + f"\nown line {i}") for i in range(6)]
+    old, new = documents(rows[:-2]), documents(rows[-2:])
+    empty = lines.empty_index(documents(rows), shard_bytes=500)
+    index = lines.insert(lines.insert(empty, old), new)
+    whole = {r[0]: r for r in brute(rows)}
+    assert ours(new, index) == [whole[104], whole[105]]
+    assert ours(documents(rows[40:60]), index) == sorted((whole[i] for i in range(40, 60)), key=str)
+    # Without its largest document, the line stays in the one before.
+    index = lines.delete(index, documents(rows[-1:]))
+    left = {r[0]: r for r in brute(rows[:-1])}
+    assert ours(documents(rows[-2:-1]), index) == [left[104]]
+    assert left[104] != whole[104]
+    assert ours(documents(rows[40:60]), index) == sorted((left[i] for i in range(40, 60)), key=str)
+    # Below the threshold nothing is lost; inserted again, all is as before.
+    few = lines.delete(index, documents(rows[-3:-1]))
+    assert ours(documents(rows[-4:-3]), few) == [(102, 2, 0, line + "\nown line 2")]
+    again = lines.insert(few, documents(rows[-3:]))
+    assert ours(new, again) == [whole[104], whole[105]]
