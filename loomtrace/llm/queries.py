@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import exact, jaccard, katz, lines, mixing, passages, pieces, quality, secrets, sharding
+from loomtrace.llm import exact, jaccard, katz, lines, mixing, passages, pieces, quality, secrets, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -190,3 +190,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates of all documents, with the forest's score and verdict."""
     return secrets.scan(_documents(spark, sf_dir))
+
+
+@query("op11_toxicity")
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of all documents, learned from labels outside the held-out fold."""
+    docs = _documents(spark, sf_dir)
+    return toxicity.scores(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
