@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import exact, jaccard, katz, lines, mixing, passages, pieces, quality, secrets, sharding, toxicity
+from loomtrace.llm import exact, jaccard, katz, lines, mixing, passages, pieces, quality, secrets, sharding, toxicity, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,3 +197,65 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and verdict of all documents, learned from labels outside the held-out fold."""
     docs = _documents(spark, sf_dir)
     return toxicity.scores(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+#: DuckDB has no crc32: the table by its rule, and the sum over a list of bytes.
+_CRC_SQL = """
+    crc AS (
+        SELECT list_transform(range(256), lambda i: list_reduce(
+            list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+    )"""
+
+
+def _crc_of(text: str) -> str:
+    """SQL for the crc32 of a text in Latin-1, beside the row of ``crc``."""
+    bytes_of = f"""flatten(list_transform(list_transform(string_split({text}, ''), lambda c: unicode(c)),
+        lambda u: CASE WHEN u < 128 THEN [u] ELSE [192 + (u >> 6), 128 + (u & 63)] END))"""
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], {bytes_of}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
+
+@query(
+    "op13_spelling_variants",
+    rf"""
+    WITH RECURSIVE {_CRC_SQL},
+    runs AS (
+        SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')),
+                                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+        FROM documents
+    ),
+    pairs AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+    hashed AS (SELECT run, n, {_crc_of("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM pairs, crc),
+    spelt AS (
+        SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+        FROM hashed
+    ),
+    v AS (SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    cuts AS (
+        SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+        FROM (SELECT word, unnest(range(length(word))) AS i FROM v)
+    ),
+    near AS (
+        SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT c.word, v.word FROM cuts c JOIN v ON v.word = c.rest
+        UNION SELECT v.word, c.word FROM cuts c JOIN v ON v.word = c.rest
+    ),
+    best AS (
+        SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS form, max(n) AS form_n
+        FROM (SELECT near.word, other, v.n FROM near JOIN v ON v.word = near.other) GROUP BY word
+    ),
+    rows AS (
+        SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * v.n THEN form END AS form,
+               CASE WHEN form_n >= 10 * v.n THEN form_n END AS form_n
+        FROM v LEFT JOIN best ON best.word = v.word
+    ),
+    climb AS (
+        SELECT word, coalesce(form, word) AS root FROM rows
+        UNION SELECT c.word, r.form FROM climb c JOIN rows r ON r.word = c.root AND r.form IS NOT NULL
+    ),
+    ends AS (SELECT c.word, c.root FROM climb c JOIN rows r ON r.word = c.root AND r.form IS NULL)
+    SELECT r.word, r.form, e.root, r.n, r.n_near, r.form_n FROM rows r JOIN ends e ON e.word = r.word
+    """,
+)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every long word of all documents."""
+    return variants.variants(_documents(spark, sf_dir))
