@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import exact, jaccard, katz, lines, mixing, passages, pieces, quality, secrets, sharding, toxicity, variants
+from loomtrace.llm import exact, jaccard, katz, lines, merkle, mixing, passages, pieces, quality, secrets, sharding, toxicity, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -259,3 +259,70 @@ def _crc_of(text: str) -> str:
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form and root of every long word of all documents."""
     return variants.variants(_documents(spark, sf_dir))
+
+
+@query(
+    "op12_merkle_manifest",
+    f"""
+    WITH RECURSIVE {_CRC_SQL},
+    d AS (
+        SELECT doc_id, source, lang, n_chars, text,
+               CASE WHEN {_crc_of("doc_id::VARCHAR")} % 3 = 0
+                    THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed
+        FROM documents, crc
+    ),
+    f AS (
+        SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                  || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+        FROM d
+    ),
+    l AS (
+        SELECT doc_id, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+               sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS tampered,
+               dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+               row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS idx
+        FROM f
+    ),
+    nodes AS (
+        SELECT 0 AS level, tree, idx, leaf AS digest FROM l
+        UNION ALL
+        SELECT level + 1, tree, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes
+        GROUP BY level, tree, idx // 8 HAVING idx // 8 > 0 OR count(*) > 1
+    ),
+    subroots AS (SELECT tree, arg_max(digest, level) AS subroot FROM nodes GROUP BY tree),
+    top AS (
+        SELECT 0 AS level, tree AS idx, subroot AS digest FROM subroots
+        UNION ALL
+        SELECT level + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM top
+        GROUP BY level, idx // 8 HAVING idx // 8 > 0 OR count(*) > 1
+    ),
+    every AS (
+        SELECT level, tree, idx, digest FROM nodes
+        UNION ALL
+        SELECT level + 100, -1, idx, digest FROM top
+    ),
+    way AS (
+        SELECT doc_id, l.tree, l.idx, lv AS level, l.tree AS at_tree, l.idx // (8 ** lv)::BIGINT AS place FROM l, (SELECT DISTINCT level AS lv FROM nodes)
+        UNION ALL
+        SELECT doc_id, l.tree, l.idx, lv + 100, -1, l.tree // (8 ** lv)::BIGINT FROM l, (SELECT DISTINCT level AS lv FROM top)
+    ),
+    runs AS (SELECT level, tree, idx // 8 AS run, string_agg(digest, '' ORDER BY idx) AS kids FROM every GROUP BY level, tree, idx // 8 HAVING idx // 8 > 0 OR count(*) > 1),
+    steps AS (
+        SELECT w.tree, w.idx, row_number() OVER (PARTITION BY w.tree, w.idx ORDER BY w.level) AS step, place % 8 AS pos, kids
+        FROM way w JOIN runs r ON r.level = w.level AND r.tree = at_tree AND r.run = place // 8
+    ),
+    climb AS (
+        SELECT tree, idx, 0 AS step, tampered AS folded, '' AS siblings FROM l
+        UNION ALL
+        SELECT c.tree, c.idx, c.step + 1, sha256(left(kids, 64 * pos) || folded || substr(kids, 64 * pos + 65)),
+               siblings || left(kids, 64 * pos) || substr(kids, 64 * pos + 65)
+        FROM climb c JOIN steps s ON s.tree = c.tree AND s.idx = c.idx AND s.step = c.step + 1
+    ),
+    ends AS (SELECT tree, idx, arg_max(folded, step) AS folded, arg_max(siblings, step) AS siblings FROM climb GROUP BY tree, idx)
+    SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = root AS verified
+    FROM l JOIN subroots USING (tree) JOIN ends USING (tree, idx), (SELECT arg_max(digest, level) AS root FROM top)
+    """,
+)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verdict of every document under one root."""
+    return merkle.manifest(_documents(spark, sf_dir))
