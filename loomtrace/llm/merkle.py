@@ -14,8 +14,10 @@ leaf verifies only if it is the one that was built.
 How it runs. Leaves are laid out by range in the order of the trees, so no language is one
 task, and numbered across ranges. A level is a grouped job over the level below. High runs
 are on the way of all leaves under them, so their rows are repeated once per chunk of 512
-leaves and joined on the chunk too: no key has more than 512 leaves. Levels and the result
-of the climb are checkpointed; the driver sees the root and whether a level is the last.
+leaves and joined on the chunk too: no key has more than 512 leaves. Above a chunk all its
+leaves have the same siblings, so only its first leaf takes them along, and the others get
+them from it at the end. Levels and the result of the climb are checkpointed; the driver
+sees the root and the sizes of levels.
 
 Defined results: a null field is ``-``; a null doc_id sorts first, is not tampered, and
 null lang is the first tree. Equal ids are ordered by their leaves, so rows that repeat
@@ -26,7 +28,9 @@ of nothing. Empty tables give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+import math
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from loomtrace.llm.exact import lowered
@@ -35,6 +39,8 @@ from loomtrace.session import anchor
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 FAN_OUT, TAMPER_EVERY = 8, 3
+#: Nodes of a level that one task writes.
+NODES_PER_TASK = 50_000
 #: Leaves that meet in one key of the climb, at most: 8 to the power of 3.
 CHUNK = FAN_OUT**3
 #: Levels of the tree over the subroots count from here.
@@ -43,16 +49,17 @@ UP = ("up_level", "up_first", "up_pos")
 _ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
 
 _CLIMB = """
-    WITH RECURSIVE climb (g, chunk, step, level, first, pos, folded, siblings, subroot) AS (
-        SELECT g, chunk, 0, level, first, pos, tampered, X'', CAST(NULL AS BINARY) FROM {leaves}
+    WITH RECURSIVE climb (g, chunk, step, level, first, pos, folded, shared, siblings, subroot) AS (
+        SELECT g, chunk, 0, level, first, pos, tampered, false, X'', CAST(NULL AS BINARY) FROM {leaves}
         UNION ALL
         SELECT c.g, c.chunk, c.step + 1, n.up_level, n.up_first, n.up_pos,
                unhex(sha2(lower(hex(concat(left(n.kids, 32 * c.pos), c.folded, substr(n.kids, 32 * c.pos + 33)))), 256)),
-               concat(left(n.kids, 32 * c.pos), substr(n.kids, 32 * c.pos + 33)),
-               CASE WHEN n.level = {top} THEN substr(n.kids, 32 * c.pos + 1, 32) END
+               n.level > {low},
+               CASE WHEN n.level <= {low} OR c.g = c.chunk THEN concat(left(n.kids, 32 * c.pos), substr(n.kids, 32 * c.pos + 33)) ELSE X'' END,
+               CASE WHEN n.level = {top} AND c.g = c.chunk THEN substr(n.kids, 32 * c.pos + 1, 32) END
         FROM climb c JOIN {nodes} n ON n.level = c.level AND n.first = c.first AND n.chunk = c.chunk
     )
-    SELECT * FROM climb
+    SELECT g, chunk, step, folded, shared, siblings, subroot FROM climb
 """
 
 
@@ -102,13 +109,14 @@ def _runs(nodes: DataFrame) -> DataFrame:
 
 def levels(nodes: DataFrame) -> tuple[DataFrame | None, DataFrame]:
     """All runs (level, tree, run, kids, n_leaves), and the trees (tree, level, digest, n_leaves)."""
-    runs, trees, level = None, None, 0
+    runs, trees, level, n = None, None, 0, nodes.count()
     while True:
-        made = anchor(_runs(nodes))
+        made = anchor(_runs(nodes).coalesce(1 + n // NODES_PER_TASK))
         ended = made.filter("complete").select("tree", F.lit(level).alias("level"), F.col("kids").alias("digest"), "n_leaves")
         trees = ended if trees is None else trees.unionByName(ended)
         more = made.filter("NOT complete")
-        if more.isEmpty():
+        n = more.count()
+        if n == 0:
             return runs, trees
         level += 1
         built = more.select(F.lit(level).alias("level"), "tree", "run", "kids", "n_leaves")
@@ -201,15 +209,23 @@ class Manifest:
         try:
             # the climb has as many rows as leaves have levels
             spark.conf.set(_ROW_LIMIT, "-1")
-            rows = spark.sql(_CLIMB, leaves=leaves, nodes=nodes, top=TOP + 1)
-            way = F.array_sort(F.collect_list(F.struct("step", "siblings")))
-            ended = rows.groupBy("g").agg(way.alias("_way"), F.max_by("folded", "step").alias("folded"), F.max("subroot").alias("subroot"))
-            siblings = F.aggregate("_way", F.lit(b""), lambda all, at: F.concat(all, at["siblings"]))
-            return anchor(ended.select("g", F.sha2(_hex(siblings).cast("binary"), 256).alias("proof_sha256"), _hex(F.col("folded")).alias("folded_root"), _hex(F.col("subroot")).alias("subroot")))
+            low = round(math.log(CHUNK, FAN_OUT))
+            rows = spark.sql(_CLIMB, leaves=leaves, nodes=nodes, top=TOP + 1, low=low).repartition("chunk")
+            own, upper = (F.array_sort(F.collect_list(F.when(x, F.struct("step", "siblings")))) for x in (~F.col("shared"), F.col("shared") & (F.col("g") == F.col("chunk"))))
+            ended = rows.groupBy("chunk", "g").agg(own.alias("_own"), upper.alias("_upper"), F.max_by("folded", "step").alias("folded"), F.max("subroot").alias("subroot"))
+            alike = Window.partitionBy("chunk")
+            upper = F.max(F.when(F.col("g") == F.col("chunk"), _joined("_upper"))).over(alike)
+            proof = F.sha2(_hex(F.concat(_joined("_own"), "_above")).cast("binary"), 256)
+            ended = ended.withColumn("_above", upper).withColumn("subroot", F.max("subroot").over(alike))
+            return anchor(ended.select("g", proof.alias("proof_sha256"), _hex(F.col("folded")).alias("folded_root"), _hex(F.col("subroot")).alias("subroot")))
         finally:
             spark.conf.set(_ROW_LIMIT, before)
 
 
+def _joined(way: str) -> Column:
+    return F.aggregate(way, F.lit(b""), lambda all, at: F.concat(all, at["siblings"]))
+
+
 def manifest(docs: DataFrame) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every row."""
     built = Manifest(docs)
