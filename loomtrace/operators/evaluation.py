@@ -67,7 +67,12 @@ def scores(
     predictions: DataFrame, keys: Sequence[str] = ("run_id", "part")
 ) -> DataFrame:
     """Accuracy, balanced accuracy, MCC, Cohen's kappa and averaged P, R, F1 per key."""
-    classes = per_class(confusion(predictions, keys), keys)
+    return scores_of_cells(confusion(predictions, keys), keys)
+
+
+def scores_of_cells(cells: DataFrame, keys: Sequence[str] = ("run_id", "part")) -> DataFrame:
+    """The same from counts (keys.., y_true, y_pred, n)."""
+    classes = per_class(cells, keys)
     t, p = F.col("support"), F.col("predicted")
     n, hits = F.sum(t), F.sum("hits")
     tp, tt, pp = F.sum(t * p), F.sum(t * t), F.sum(p * p)

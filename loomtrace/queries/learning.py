@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.operators import attribution, evaluation, features, models, neighbours, splits
 from loomtrace.operators import timing, windows
-from loomtrace.plans import nested
+from loomtrace.plans import leave_out, nested
 from loomtrace.plans.ordered import along
 from loomtrace.queries.base import query
 from loomtrace.queries.behaviour import GAPS, log_gaps
@@ -18,6 +18,7 @@ from loomtrace.sources.testviews import (
     V_CHAT,
     V_EMB,
     V_EVENTS,
+    V_LINES,
     V_PRED,
     v_chat,
     v_documents,
@@ -525,24 +526,89 @@ def timing_grid(spark, sf):
     return evaluation.scores(found, ("candidate", "part"))
 
 
-@query("k8_nested_text")
-def nested_text(spark, sf):
-    """Two outer splits over two views of the documents with Bayes candidates."""
-    docs = documents(spark, sf).drop("part")
+def text_views(spark, sf):
+    """Whole documents and their lines as examples."""
+    docs = documents(spark, sf).select("example_id", "actor", "label", "text")
     lines = v_lines(spark, sf).select(
         (F.col("doc_id") * PLACES + F.col("pos")).alias("example_id"),
         "actor",
         catalog.class_label(F.col("actor")).alias("label"),
         "text",
     )
-    combos = splits.outer_splits(catalog.discover_actors(lines), limit=2)
-    grid = [
-        (spec, models.Candidate(m, {"alpha": a}))
-        for spec in (WORD1, WORD2)
-        for m in ("mnb", "cnb")
-        for a in (0.1, 1.0)
-    ]
-    return nested.run_nested({"documents": docs, "lines": lines}, grid, combos, minimum={"train": 10, "val": 5, "test": 5})
+    return {"documents": docs, "lines": lines}
+
+
+def counted_grid(keep=lambda spec: True):
+    """The counted models of the text grid: guesses and naive Bayes."""
+    every = [(features.TextFeatures(**spec), c) for spec, c in models.text_candidates() if c.model in leave_out.COUNTED]
+    return [(spec, c) for spec, c in every if c.model.startswith("dummy") or keep(spec)]
+
+
+NESTED_WORDS = f"""{V_LINES}, {DOCS},
+ex AS (SELECT 0 AS v, example_id AS id, actor, label, text FROM doc UNION ALL
+  SELECT 1, doc_id * {PLACES} + pos, actor, CASE WHEN contains(actor, 'GPT') THEN 'ai' ELSE 'human' END, text FROM v_lines),
+act AS (SELECT DISTINCT actor, label FROM ex),
+{OUTER},
+fld AS (SELECT DISTINCT least(val_human, test_human) || '|' || greatest(val_human, test_human) || '|' || least(val_ai, test_ai) || '|' || greatest(val_ai, test_ai) AS f FROM out),
+tra AS (SELECT f, actor, label, contains('|' || f || '|', '|' || actor || '|') AS held FROM fld, act),
+siz AS (SELECT v, actor, count(*) AS n FROM ex GROUP BY ALL),
+ntr AS (SELECT v, f, sum(n)::BIGINT AS n, sum(CASE WHEN label = 'ai' THEN n ELSE 0 END) AS n_ai, sum(CASE WHEN label = 'human' THEN n ELSE 0 END) AS n_human
+  FROM siz JOIN tra USING (actor) WHERE NOT held GROUP BY ALL),
+cts AS (SELECT v, id, actor, label, term, count(*) AS tf FROM (SELECT v, id, actor, label, unnest({WORDS}) AS term FROM ex) GROUP BY ALL),
+dfs AS (SELECT v, actor, term, count(*) AS df FROM cts GROUP BY ALL),
+voc AS (SELECT v, f, term, ln((1 + max(n)) / (1 + sum(df))) + 1 AS idf FROM dfs JOIN tra USING (actor) JOIN ntr USING (v, f) WHERE NOT held
+  GROUP BY ALL HAVING sum(df) >= 2 AND sum(df) <= 0.95 * max(n)),
+raw AS (SELECT v, f, id, actor, label, term, (1 + ln(tf)) * idf AS x FROM cts JOIN voc USING (v, term)),
+len AS (SELECT v, f, id, sqrt(sum(x * x)) AS l FROM raw GROUP BY ALL),
+wts AS (SELECT raw.*, x / l AS w, held FROM raw JOIN len USING (v, f, id) JOIN (SELECT f, actor, held FROM tra) USING (f, actor)),
+sms AS (SELECT v, f, term, sum(CASE WHEN label = 'ai' THEN w ELSE 0 END) AS s_ai, sum(CASE WHEN label = 'human' THEN w ELSE 0 END) AS s_human
+  FROM wts WHERE NOT held GROUP BY ALL),
+fit AS (SELECT *, sum(s_ai) OVER (PARTITION BY v, f) AS t_ai, sum(s_human) OVER (PARTITION BY v, f) AS t_human, count(*) OVER (PARTITION BY v, f) AS size FROM sms),
+alp AS (SELECT * FROM (VALUES (0, 0.01::DOUBLE), (1, 0.1::DOUBLE), (2, 1.0::DOUBLE)) g(j, a)),
+odd AS (SELECT v, f, term, j, ln((s_human + a) / (t_human + a * size)) - ln((s_ai + a) / (t_ai + a * size)) AS o FROM fit, alp),
+gns AS (SELECT v, f, id, j, sum(w * o) AS g FROM wts JOIN odd USING (v, f, term) WHERE held GROUP BY ALL),
+hld AS (SELECT v, f, id, actor, n, n_ai, ln(n_human / n_ai) AS prior, n_human > n_ai AS most FROM ex JOIN tra USING (actor) JOIN ntr USING (v, f) WHERE held),
+prd AS (SELECT v, f, actor, 8 * v AS cand, most AS human FROM hld
+  UNION ALL SELECT v, f, actor, 8 * v + 1, ('0x' || substr(md5(id || '|42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE >= n_ai / n FROM hld
+  UNION ALL SELECT v, f, actor, 8 * v + 2 + 2 * j + c, round(coalesce(g, 0) + CASE WHEN c = 0 THEN prior ELSE 0 END, 9) > 0
+    FROM hld CROSS JOIN alp CROSS JOIN (VALUES (0), (1)) k(c) LEFT JOIN gns USING (v, f, id, j)),
+pn AS (SELECT v, f, actor, cand, count(*) FILTER (human) AS nh, count(*) AS n FROM prd GROUP BY ALL),
+prt AS (SELECT val_human, val_ai, test_human, test_ai, unnest(['val', 'val', 'test', 'test']) AS part, unnest([val_human, val_ai, test_human, test_ai]) AS actor,
+  least(val_human, test_human) || '|' || greatest(val_human, test_human) || '|' || least(val_ai, test_ai) || '|' || greatest(val_ai, test_ai) AS f FROM out),
+sca AS (SELECT val_human, val_ai, test_human, test_ai, f, v, cand, part, sum(n) AS n, sum(CASE WHEN contains(actor, 'GPT') THEN 0 ELSE n END) AS n_h,
+  sum(nh) AS p_h, sum(CASE WHEN contains(actor, 'GPT') THEN 0 ELSE nh END) AS h_h, sum(CASE WHEN contains(actor, 'GPT') THEN n - nh ELSE 0 END) AS h_a
+  FROM prt JOIN pn USING (f, actor) GROUP BY ALL),
+f1 AS (SELECT *, round((2 * h_h / (n_h + p_h) + 2 * h_a / (2 * n - n_h - p_h)) / 2, 9) AS f1 FROM sca),
+bst AS (SELECT val_human, val_ai, test_human, test_ai, f, v, cand, max(f1) FILTER (part = 'val') AS val_f1_macro, max(f1) FILTER (part = 'test') AS test_f1_macro,
+  max(n) FILTER (part = 'val') AS n_val, max(n) FILTER (part = 'test') AS n_test FROM f1 GROUP BY ALL)"""
+
+
+@query(
+    "k8_nested_words",
+    f"""WITH {NESTED_WORDS}
+      SELECT val_human, val_ai, test_human, test_ai, ntr.n AS n_train, CASE WHEN v = 0 THEN 'documents' ELSE 'lines' END AS selected_view,
+        CASE WHEN cand % 8 = 0 THEN 'dummy_most_frequent' WHEN cand % 8 = 1 THEN 'dummy_stratified' WHEN cand % 2 = 0 THEN 'mnb' ELSE 'cnb' END AS selected_model,
+        cand::BIGINT AS selected_candidate, val_f1_macro, test_f1_macro
+      FROM bst JOIN ntr USING (v, f) WHERE ntr.n >= 200 AND n_val >= 100 AND n_test >= 100
+      QUALIFY row_number() OVER (PARTITION BY val_human, val_ai, test_human, test_ai ORDER BY val_f1_macro DESC, cand) = 1""",
+)
+def nested_words(spark, sf):
+    """All outer splits over two views of the documents: single words, guesses and naive Bayes."""
+    grid = counted_grid(lambda spec: spec.ngrams == (1, 1))
+    return leave_out.nested_splits(text_views(spark, sf), grid).drop("outer_i")
+
+
+@query("k8_nested_text")
+def nested_text(spark, sf):
+    """All outer splits over two views, with every counted word model of the text grid."""
+    return leave_out.nested_splits(text_views(spark, sf), counted_grid(lambda spec: spec.analyzer == "word"))
+
+
+@query("k8_nested_chars")
+def nested_chars(spark, sf):
+    """All outer splits over whole documents, with every counted character model of the text grid."""
+    views = {"documents": text_views(spark, sf)["documents"]}
+    return leave_out.nested_splits(views, counted_grid(lambda spec: spec.analyzer == "char"))
 
 
 # ---- E: scores ----
