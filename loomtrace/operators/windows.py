@@ -111,6 +111,43 @@ def line_windows(
     )
 
 
+def merged_lines(
+    lines: DataFrame, *, actor: str = "actor", file: str = "path", line: str = "line_no", time: str = "ts"
+) -> DataFrame:
+    """Lines with `as_of`, by which the files of an actor merge: their own time or the last one known.
+
+    A line without a time happened when the last line of its file that has one did; lines
+    before a file's first time have none and come first.
+    """
+    return along(lines, [actor, file], [line]).last_known(time, "as_of").frame()
+
+
+def cross_file_windows(
+    lines: DataFrame,
+    *,
+    size: int,
+    stride: int | None = None,
+    drop_last: bool = True,
+    join_token: str = " <EOL> ",
+    text: str = "text",
+    actor: str = "actor",
+    file: str = "path",
+    line: str = "line_no",
+    time: str = "ts",
+) -> DataFrame:
+    """Windows over all files of an actor at once, in the order of (time, file, line).
+
+    (actor, window, file, line_no, n, text): file and line are those of the first line.
+    """
+    merged = merged_lines(lines, actor=actor, file=file, line=line, time=time)
+    merged = merged.withColumn("_first", F.struct(F.col(file).alias("file"), F.col(line).alias("line_no")))
+    cut = line_windows(
+        merged, [actor], ["as_of", file, line], size=size, stride=stride, drop_last=drop_last,
+        join_token=join_token, text=text, anchor="_first",
+    )
+    return cut.select(actor, "window", "_first.file", "_first.line_no", "n", "text")
+
+
 def id_windows(
     ids: DataFrame,
     keys: Sequence[str],

@@ -82,6 +82,17 @@ class Along:
         )
         return replace(self, df=added)
 
+    def last_known(self, column: str, name: str) -> Along:
+        """Add the last value of a column that is not NULL, up to this row; NULL before any."""
+        upto = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        place = F.when(F.col(column).isNotNull(), F.struct(*self.order))
+        last = self.df.groupBy(RANGE, *self.keys).agg(F.max_by(column, place).alias("_last"))
+        earlier = Window.partitionBy(*self.keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+        out = self.df.withColumn(name, F.last(column, ignorenulls=True).over(upto))
+        out = self._with_earlier(out, last, F.last("_last", ignorenulls=True).over(earlier), "_carry")
+        out = out.withColumn(name, F.coalesce(name, "_carry")).drop("_carry")
+        return replace(self, df=out)
+
     def frame(self) -> DataFrame:
         return self.df.drop(RANGE)
 

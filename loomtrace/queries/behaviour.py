@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtrace.functions import fields
+from loomtrace.functions.timestamps import line_timestamp
 from loomtrace.operators import audit, sequences, templates, timing, windows
 from loomtrace.operators import groupstats as gs
 from loomtrace.plans import complexity, load
@@ -67,6 +68,29 @@ def line_windows_with_tail(spark, sf):
     )
 
 
+MERGED = f"""{V_LOGS},
+tim AS (SELECT actor, log_type, line_no, text, CASE WHEN log_type <> 'unknown' AND NOT starts_with(text, 'type=EXECVE') THEN
+          CASE WHEN log_type = 'audit' THEN date_trunc('millisecond', ts) ELSE ts END END AS t FROM v_logs),
+asf AS (SELECT *, last_value(t IGNORE NULLS) OVER (PARTITION BY actor, log_type ORDER BY line_no
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS as_of FROM tim),
+mrg AS (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY as_of NULLS FIRST, log_type, line_no) - 1 AS p FROM asf)"""
+
+
+@query(
+    "w6_cross_file_windows",
+    f"""WITH {MERGED}, w AS (SELECT actor, unnest(range(0, max(p) + 1, 3)) AS s FROM mrg GROUP BY actor)
+      SELECT w.actor, s // 3 AS "window", arg_min(log_type, p) AS file, arg_min(line_no, p) AS line_no, count(*) AS n,
+        string_agg(text, ' <EOL> ' ORDER BY p) AS text
+      FROM w JOIN mrg ON mrg.actor = w.actor AND p >= s AND p < s + 5 GROUP BY w.actor, s HAVING count(*) = 5""",
+)
+def cross_file_windows(spark, sf):
+    """Windows over all logs of an actor. EXECVE records and free text have no time of their own."""
+    rows = v_logs(spark, sf).drop("ts", "event_id")
+    bare = F.col("text").startswith("type=EXECVE")
+    timed = rows.withColumn("ts", F.when(~bare, line_timestamp(F.col("text"), F.col("log_type"))))
+    return windows.cross_file_windows(timed, size=5, stride=3, file="log_type")
+
+
 IDS = f"""{V_EVENTS},
 pl AS (SELECT actor, 'event' AS log_type, event_id AS line_no, dense_rank() OVER (ORDER BY token) AS cid,
          row_number() OVER (PARTITION BY actor ORDER BY ts, event_id) - 1 AS p FROM v_events)"""

@@ -29,6 +29,11 @@ def test_ranges_give_the_rows_of_a_plain_window(events, ranges, keys):
     assert rows(laid.previous({"before": "ts", "who": "id"}).frame().select(want.columns)) == rows(want)
     want = events.withColumn("total", F.sum(F.col("id") % 5).over(plain))
     assert rows(laid.running_sum(F.col("id") % 5, "total").frame().select(want.columns)) == rows(want)
+    known = events.withColumn("seen", F.when(F.col("id") % 41 == 0, F.col("ts")))
+    upto = plain.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = known.withColumn("last", F.last("seen", ignorenulls=True).over(upto))
+    got = along(known, keys, ["ts", "id"], ranges=ranges).last_known("seen", "last").frame()
+    assert rows(got.select(want.columns)) == rows(want)
 
 
 def test_chained_steps(events):
