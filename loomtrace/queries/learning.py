@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.operators import attribution, evaluation, features, models, neighbours, splits
 from loomtrace.operators import timing, windows
-from loomtrace.plans import leave_out, nested
+from loomtrace.plans import leave_out, moments, nested
 from loomtrace.plans.ordered import along
 from loomtrace.queries.base import query
 from loomtrace.queries.behaviour import GAPS, log_gaps
@@ -611,6 +611,24 @@ def nested_chars(spark, sf):
     return leave_out.nested_splits(views, counted_grid(lambda spec: spec.analyzer == "char"))
 
 
+def gap_views(spark, sf, sizes):
+    """Gap windows of several sizes as examples, short last ones kept."""
+    gaps = log_gaps(spark, sf)
+    views = {}
+    for size in sizes:
+        cut = windows.gap_windows(gaps, ["actor", "log_type"], size=size, drop_last=False)
+        rows = along(cut.select("actor", "log_type", "window", "gaps"), [], ["actor", "log_type", "window"])
+        views[f"w{size}"] = rows.positions("example_id").frame().withColumn("label", catalog.class_label(F.col("actor")))
+    return views
+
+
+@query("k8_nested_timing")
+def nested_timing(spark, sf):
+    """All outer splits over gap windows of three sizes, with the dense models of the timing grid."""
+    grid = [c for c in models.timing_candidates() if c.model in moments.DENSE]
+    return moments.nested_dense(gap_views(spark, sf, (5, 10, 25)), grid)
+
+
 # ---- E: scores ----
 
 CELLS = f"""{V_PRED}, cel AS (SELECT run_id, part, y_true, y_pred, count(*) AS n FROM v_pred GROUP BY ALL),
