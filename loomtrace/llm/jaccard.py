@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.llm import words as W
+from loomtrace.llm.apart import set_apart
 from loomtrace.llm.graph import components
 from loomtrace.session import anchor
 
@@ -456,6 +457,11 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     Rows with empty sets are linked with nothing and all stay. First is the smallest id;
     of rows that repeat it, the one of the smallest hash of its text.
     """
+    kept = set_apart(docs, ("doc_id", "text"))
+    return kept.back(_firsts(kept.docs))
+
+
+def _firsts(docs: DataFrame) -> DataFrame:
     rows = anchor(labelled(docs))
     best = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("best")).select("best.doc_id", "best.mark")
     times = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("_of"), F.max("n_shingles").alias("n"))

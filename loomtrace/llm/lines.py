@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtrace.llm import words as W
+from loomtrace.llm.apart import set_apart
 from loomtrace.session import anchor
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
@@ -265,10 +266,14 @@ def without_common_lines(docs: DataFrame, index: LineIndex | None = None) -> Dat
     Without an index, one of these documents is made. Columns of ``docs`` stay, but for
     those named n_lines or n_dropped.
     """
+    kept = set_apart(docs.drop("n_lines", "n_dropped"), ("doc_id", "text"))
+    return kept.back(_cleaned(kept.docs, index), "n_lines", "n_dropped")
+
+
+def _cleaned(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
     empty = empty_index(docs) if index is None else index
     parts = anchor(references(docs, empty.shards, empty.least_chars))
     index = _changed(empty, parts, 1) if index is None else index
-    docs = docs.drop("n_lines", "n_dropped")
     lost = lost_lines(index, parts).select(F.col("doc_id").alias("_id"), F.col("lost").alias("_lost"))
     joined = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
     least_chars = index.least_chars
@@ -302,5 +307,5 @@ def without_common_lines(docs: DataFrame, index: LineIndex | None = None) -> Dat
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and the digest of the kept text, of all documents."""
-    kept = without_common_lines(docs.select("doc_id", "text"))
+    kept = _cleaned(docs.select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

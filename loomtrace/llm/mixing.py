@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtrace.llm import words as W
+from loomtrace.llm.apart import set_apart
 from loomtrace.session import anchor
 
 WEIGHTS = (3, 1, 2)
@@ -178,6 +179,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Rows that agree in doc_id, source and size may stand for each other; what is taken of
     them is dealt out in the order of their texts' hashes.
     """
+    kept = set_apart(docs, ("doc_id", "source", "text"))
+    return kept.back(_mixed(kept.docs))
+
+
+def _mixed(docs: DataFrame) -> DataFrame:
     key = ["doc_id", "source", "size"]
     taken = copies(docs).groupBy(*key).agg(F.sum("times").alias("_times"), F.count("*").alias("_of"))
     taken = taken.select(*(F.col(c).alias(f"_{c}") for c in key), "_times", "_of")

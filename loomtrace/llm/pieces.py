@@ -30,6 +30,7 @@ for those named ids (and decoded). Repeated rows are encoded each for itself.
 
 from __future__ import annotations
 
+import codecs
 import re
 from array import array
 from collections.abc import Iterator
@@ -55,6 +56,12 @@ SPACE = "▁"
 MOST_MODEL_BYTES = 64 << 20
 
 
+#: What an unknown piece is decoded to.
+UNKNOWN = " \u2047 ".encode()
+_EACH_BYTE = "each-byte-replaced"
+codecs.register_error(_EACH_BYTE, lambda error: ("\ufffd" * (error.end - error.start), error.end))
+
+
 class Pieces:
     """The vocabulary of a model and its segmentation of strings."""
 
@@ -72,7 +79,8 @@ class Pieces:
         self.inside = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         if any(pair[1] == SPACE != pair[0] for pair in self.inside):
             raise ValueError("pieces of this model hold a space after other characters")
-        self.text = [b""] * len(every)
+        self.spaced = frozenset(i for p, i in self.id.items() if p.startswith(SPACE))
+        self.text = [UNKNOWN if given.is_unknown(i) else b"" for i in every]
         for piece, i in self.id.items():
             self.text[i] = piece.replace(SPACE, " ").encode()
         for value, i in enumerate(self.byte):
@@ -179,8 +187,18 @@ class Pieces:
             out += found
         return out
 
-    def decoded(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.text.__getitem__, ids))
+    def decoded(self, ids: list[int]) -> str:
+        """The text of any ids, also of a part of a text's.
+
+        The space that encoding puts first goes if it is there. Unknown pieces give their
+        sign, controls nothing, and bytes that are no character U+FFFD each. An id that is
+        no piece is an error.
+        """
+        if ids and not (min(ids) >= 0 and max(ids) < len(self.text)):
+            raise IndexError("an id is no piece of the model")
+        whole = b"".join(map(self.text.__getitem__, ids)).decode(errors=_EACH_BYTE)
+        first = next((i for i in ids if not self.given.is_control(i)), None)
+        return whole[1:] if first in self.spaced else whole
 
     def is_cut(self, s: str, i: int) -> bool:
         """Whether no piece can lie across place i."""
@@ -413,7 +431,7 @@ def decode(rows: DataFrame, model: bytes) -> DataFrame:
         pieces = _pieces(shared.value)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("ids"))
-            texts = [None if not x.is_valid else pieces.decoded(x.values.to_pylist())[1:].decode() for x in column]
+            texts = [None if not x.is_valid else pieces.decoded(x.values.to_pylist()) for x in column]
             yield batch.append_column("decoded", pa.array(texts, pa.string()))
 
     return rows.mapInArrow(decode_all, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtrace.llm import words as W
+from loomtrace.llm.apart import set_apart
 
 #: Documents of each class the field is trained on, and the bytes such a document may have.
 PER_CLASS, LONGEST = 600, 1 << 16
@@ -261,4 +262,5 @@ def kept(docs: DataFrame, field: Field, share: float = CONTENT_SHARE) -> DataFra
         for batch in W.slices(batches, "text"):
             yield batch.filter(pa.array(judged(batch.column("text"), field, share)["kept"]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    rest = set_apart(docs, ("doc_id", "text"))
+    return rest.back(rest.docs.mapInArrow(keep, rest.docs.schema))

@@ -78,6 +78,21 @@ def test_decoding_gives_the_text_back(documents, odd_rows):
     assert rows.filter(~F.col("text").eqNullSafe(F.col("decoded"))).count() == 0
 
 
+def test_any_ids_decode_as_the_library_does(library, ours):
+    """Cut lists, single bytes, unknown and control pieces."""
+    rng = random.Random(12)
+    size = library.get_piece_size()
+    whole = library.encode(" ".join(t for t in texts() if t)[:4000] + " é漢😀")
+    lists = [[288, 375], [], [0], [1, 288], [0, 288, 0], [198], [198, 172], [233, 191, 288], [35, 288]]
+    lists += [whole[a : a + rng.randrange(1, 12)] for a in range(0, len(whole), 7)]
+    lists += [[rng.choice([rng.randrange(size), rng.randrange(3, 259), rng.randrange(259, 400), 0]) for _ in range(rng.randrange(1, 9))] for _ in range(3000)]
+    for ids in lists:
+        assert ours.decoded(ids) == library.decode(ids), ids
+    for bad in ([-1], [5, size]):
+        with pytest.raises(IndexError):
+            ours.decoded(bad)
+
+
 def test_empty_table_and_clashing_names(documents):
     docs = documents([]).selectExpr("*", "1 AS ids", "2 AS _chunk")
     out = P.encode(docs, MODEL)
