@@ -56,6 +56,8 @@ SPACE = "▁"
 MOST_MODEL_BYTES = 64 << 20
 
 
+#: Ids decoded at once.
+DECODED_IDS = 1 << 19
 #: What an unknown piece is decoded to.
 UNKNOWN = " \u2047 ".encode()
 _EACH_BYTE = "each-byte-replaced"
@@ -79,12 +81,15 @@ class Pieces:
         self.inside = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         if any(pair[1] == SPACE != pair[0] for pair in self.inside):
             raise ValueError("pieces of this model hold a space after other characters")
-        self.spaced = frozenset(i for p, i in self.id.items() if p.startswith(SPACE))
-        self.text = [UNKNOWN if given.is_unknown(i) else b"" for i in every]
+        text = [UNKNOWN if given.is_unknown(i) else b"" for i in every]
         for piece, i in self.id.items():
-            self.text[i] = piece.replace(SPACE, " ").encode()
+            text[i] = piece.replace(SPACE, " ").encode()
         for value, i in enumerate(self.byte):
-            self.text[i] = bytes([value])
+            text[i] = bytes([value])
+        self.flat = np.frombuffer(b"".join(text), np.uint8)
+        self.begin = np.concatenate([[0], np.cumsum([len(t) for t in text])])
+        self.control = np.array([given.is_control(i) for i in every])
+        self.spaced = np.isin(every, [i for p, i in self.id.items() if p.startswith(SPACE)])
         self.words = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         self.follows: dict[tuple[str, str], bool] = {}
         #: Pieces that merging their characters gives.
@@ -187,18 +192,29 @@ class Pieces:
             out += found
         return out
 
-    def decoded(self, ids: list[int]) -> str:
-        """The text of any ids, also of a part of a text's.
+    def decoded(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """The texts of lists of any ids, also of parts of a text's; lists lie back to back.
 
         The space that encoding puts first goes if it is there. Unknown pieces give their
         sign, controls nothing, and bytes that are no character U+FFFD each. An id that is
         no piece is an error.
         """
-        if ids and not (min(ids) >= 0 and max(ids) < len(self.text)):
+        if len(ids) and not (ids.min() >= 0 and ids.max() < len(self.begin) - 1):
             raise IndexError("an id is no piece of the model")
-        whole = b"".join(map(self.text.__getitem__, ids)).decode(errors=_EACH_BYTE)
-        first = next((i for i in ids if not self.given.is_control(i)), None)
-        return whole[1:] if first in self.spaced else whole
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        out = []
+        at = 0
+        while at < len(sizes):
+            to = max(int(np.searchsorted(first, first[at] + DECODED_IDS, "right")) - 1, at + 1)
+            own = ids[first[at] : first[to]]
+            texts = W.gather(self.flat, self.begin[own], self.begin[own + 1])
+            bounds, whole = texts.bounds[first[at : to + 1] - first[at]], texts.data.tobytes()
+            real = np.flatnonzero(~self.control[own])
+            head = np.append(real, len(own))[np.searchsorted(real, first[at:to] - first[at])]
+            spaced = (head < first[at + 1 : to + 1] - first[at]) & np.append(self.spaced[own], False)[head]
+            out += [whole[a:b].decode(errors=_EACH_BYTE) for a, b in zip(bounds[:-1] + spaced, bounds[1:], strict=True)]
+            at = to
+        return out
 
     def is_cut(self, s: str, i: int) -> bool:
         """Whether no piece can lie across place i."""
@@ -431,7 +447,10 @@ def decode(rows: DataFrame, model: bytes) -> DataFrame:
         pieces = _pieces(shared.value)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("ids"))
-            texts = [None if not x.is_valid else pieces.decoded(x.values.to_pylist()) for x in column]
+            there = column.is_valid().to_numpy(zero_copy_only=False)
+            sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            found = pieces.decoded(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+            texts = [t if ok else None for t, ok in zip(found, there, strict=True)]
             yield batch.append_column("decoded", pa.array(texts, pa.string()))
 
     return rows.mapInArrow(decode_all, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))

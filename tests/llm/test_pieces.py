@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -78,7 +79,7 @@ def test_decoding_gives_the_text_back(documents, odd_rows):
     assert rows.filter(~F.col("text").eqNullSafe(F.col("decoded"))).count() == 0
 
 
-def test_any_ids_decode_as_the_library_does(library, ours):
+def test_any_ids_decode_as_the_library_does(library, ours, monkeypatch):
     """Cut lists, single bytes, unknown and control pieces."""
     rng = random.Random(12)
     size = library.get_piece_size()
@@ -86,11 +87,13 @@ def test_any_ids_decode_as_the_library_does(library, ours):
     lists = [[288, 375], [], [0], [1, 288], [0, 288, 0], [198], [198, 172], [233, 191, 288], [35, 288]]
     lists += [whole[a : a + rng.randrange(1, 12)] for a in range(0, len(whole), 7)]
     lists += [[rng.choice([rng.randrange(size), rng.randrange(3, 259), rng.randrange(259, 400), 0]) for _ in range(rng.randrange(1, 9))] for _ in range(3000)]
-    for ids in lists:
-        assert ours.decoded(ids) == library.decode(ids), ids
+    flat, sizes = np.array([i for ids in lists for i in ids]), np.array([len(ids) for ids in lists])
+    assert ours.decoded(flat, sizes) == [library.decode(ids) for ids in lists]
+    monkeypatch.setattr(P, "DECODED_IDS", 5)
+    assert ours.decoded(flat, sizes) == [library.decode(ids) for ids in lists]
     for bad in ([-1], [5, size]):
         with pytest.raises(IndexError):
-            ours.decoded(bad)
+            ours.decoded(np.array(bad), np.array([len(bad)]))
 
 
 def test_empty_table_and_clashing_names(documents):
