@@ -16,7 +16,6 @@ def components(links: DataFrame) -> DataFrame:
     minimum and a join. The steps end when the links are stars, which are then the result.
     """
     stars = anchor(_tidy(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    before = None
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
@@ -24,14 +23,20 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         stars = anchor(_tidy(small.unionByName(low.select("u", F.col("low").alias("v")))))
-        state = stars.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if state == before:
+        if not _unfinished(stars).take(1):
             break
-        before = state
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _unfinished(stars: DataFrame) -> DataFrame:
+    """Nodes that hang on two others, or hang on one and hold one; none in a table of stars."""
+    ends = stars.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
+    ends = ends.unionByName(stars.select("v", F.lit(0), F.lit(1)).toDF("node", "hangs", "holds"))
+    sums = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return sums.filter("hangs + holds > 1 AND hangs > 0")
+
+
 def _tidy(links: DataFrame) -> DataFrame:
     """Each link once, from its larger to its smaller node, without loops."""
     return links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()

@@ -14,13 +14,15 @@ and l, so the links found do not depend on them. Equal sets are one node from th
 
 Work on a group of near copies grows with its members, not with their pairs. The sets
 that share a prefix token form a list. Each is verified against the lead of its list, the
-one with most shared tokens. Two sets x and y linked to the lead c are in one component.
-Else say x is not linked to c. If x and y are linked, then either they share tokens
-outside c, at least as many as |x & y| needs beyond min(|x & c|, |y & c|), or that bound
-already reaches the need, which holds only for y smaller than c. So the tokens outside c
-get prefixes and lists in turn, and for the second case partners are looked up by size.
-The new lists go through the same step, and of what is still open after it all pairs
-between components are verified. Pairs inside a component cannot change it.
+set whose prefix lies in the longest lists for its size: the one with fewest edits of its
+own. Two sets x and y linked to the lead c are in one component. Else say x is not linked
+to c. If x and y are linked, then either they share tokens outside c, at least as many as
+|x & y| needs beyond min(|x & c|, |y & c|), or that bound already reaches the need, which
+holds only for y smaller than c. So the tokens outside c get prefixes and lists in turn,
+and for the second case partners are looked up by size. The new lists go through the same
+step with leads of their own, while one is left that has a lead not tried before and more
+than one component. Pairs are listed in short lists, and in lists still open after the
+last round. Pairs inside a component cannot change it.
 
 Shuffled: prefix postings packed per batch and bucket, lists of shared tokens, and the
 texts of documents that have a candidate. Sets are known by 64-bit hashes of their
@@ -54,6 +56,10 @@ SHARE, OF = 75, 100
 MATCHES, MULTIPLES = 16, (1, 2, 4)
 #: Verifying a candidate costs as much as so many postings.
 VERIFY_COST = 8
+#: Pairs of sets outside their lead are listed in lists of so many sets at most.
+SHORT = 64
+#: Rounds of leads; of lists still open after them pairs between components are listed.
+ROUNDS = 3
 #: Bits of the filter that finds the texts of candidates where they are read.
 FILTER_BITS = 1 << 23
 CELLS, CELL_SLICES = 1 << 20, 16
@@ -208,11 +214,11 @@ def _send(seed: int, buckets: int, excess):
     return send
 
 
-_LISTS = "list long, node long, size long, need int, times long"
+_LISTS = "list long, node long, size long, need int, times long, long long"
 
 
 def _listed(table: pa.Table) -> pa.Table:
-    """The sets that share a token, for each set of them once, with the tokens counted."""
+    """The sets that share a token, for each set of them once, with tokens and sets counted."""
     nodes, sizes, needs, index, tokens = [], [], [], [], []
     n = 0
     for load in table.column("load").to_pylist():
@@ -243,8 +249,8 @@ def _listed(table: pa.Table) -> pa.Table:
     head, long = head[once], long[once]
     cut = np.concatenate([[0], np.cumsum(long)])
     take = place[np.repeat(head - cut[:-1], long) + np.arange(cut[-1])]
-    columns = [np.repeat(label.view(np.int64), long), node[take], size[take], need[take], np.repeat(times, long)]
-    return pa.table([pa.array(c) for c in columns], ["list", "node", "size", "need", "times"])
+    columns = [np.repeat(label.view(np.int64), long), node[take], size[take], need[take], np.repeat(times, long), np.repeat(long, long)]
+    return pa.table([pa.array(c) for c in columns], ["list", "node", "size", "need", "times", "long"])
 
 
 def _sizes_fit(a: str, b: str):
@@ -288,13 +294,13 @@ def _node_texts(docs: DataFrame, described: DataFrame, nodes: DataFrame, seed: i
     return met.mapInArrow(small, "node long, text binary").dropDuplicates(["node"])
 
 
-_TRIED = "a long, b long, a_size long, b_size long, shared long, linked boolean, rest binary"
+_TRIED = "a long, b long, a_size long, b_size long, shared long, linked boolean, more boolean, rest binary"
 
 
-def _tried(pairs: DataFrame, texts: DataFrame, seed: int, excess=None) -> DataFrame:
+def _tried(pairs: DataFrame, texts: DataFrame, seed: int, excess) -> DataFrame:
     """Pairs of nodes by their whole sets: sizes, shared tokens, and whether linked.
 
-    With excess also rest: the prefix of the tokens of b outside a.
+    Of pairs marked more also rest: the prefix of the tokens of b outside a.
     """
     a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
 
@@ -315,17 +321,18 @@ def _tried(pairs: DataFrame, texts: DataFrame, seed: int, excess=None) -> DataFr
             sets = [token[i:j] for i, j in zip(first[:-1], first[1:], strict=True)]
             shared, rest = np.zeros(batch.num_rows, np.int64), []
             sizes = np.zeros((2, batch.num_rows), np.int64)
+            more = batch.column("more").to_pylist()
             for i, (x, y) in enumerate(zip(*(e.tolist() for e in ends), strict=True)):
                 x, y = sets[place[x]], sets[place[y]]
                 both = np.concatenate([x, y])
                 both.sort()
                 shared[i], sizes[:, i] = (both[1:] == both[:-1]).sum(), (len(x), len(y))
-                rest.append(None if excess is None else W.packed(outside(x, y)))
+                rest.append(W.packed(outside(x, y)) if more[i] else None)
             linked = OF * shared >= SHARE * (sizes.sum(0) - shared)
-            columns = [*ends, *sizes, shared, linked]
+            columns = [*ends, *sizes, shared, linked, np.array(more, bool)]
             yield pa.record_batch([*map(pa.array, columns), pa.array(rest, pa.binary())], [c.split()[0] for c in _TRIED.split(", ")])
 
-    met = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text")
+    met = pairs.select("a", "b", "more").join(b, "b").join(a, "a").select("a", "b", "more", "a_text", "b_text")
     return met.mapInArrow(verify, _TRIED)
 
 
@@ -345,15 +352,27 @@ def _again(buckets: int):
 
 
 def _stars(lists: DataFrame) -> DataFrame:
-    """(a, b): the lead of each list with every other set of it.
+    """(a, b, more): the lead of each list with every other set of it; more if there are two.
 
     A set stays if it has as many shared tokens as a pair with it needs.
     """
-    degree = lists.groupBy("node").agg(F.sum("times").alias("degree"), F.first("need").alias("need"))
-    kept = lists.select("list", "node").join(degree.filter("degree >= need"), "node")
-    lead = kept.groupBy("list").agg(F.max_by("node", F.struct("degree", "node")).alias("a"))
-    pairs = kept.select("list", F.col("node").alias("b")).join(lead, "list")
-    return pairs.filter("a <> b").select("a", "b").distinct()
+    degree = lists.groupBy("node").agg(
+        F.sum("times").alias("degree"),
+        F.first("need").alias("need"),
+        (F.sum(F.col("times") * F.col("long")) / F.first("size")).alias("middle"),
+    )
+    kept = lists.select("list", "node").join(degree.filter("degree >= need").select("node", "middle"), "node")
+    lead = kept.groupBy("list").agg(F.max_by("node", F.struct("middle", "node")).alias("a"), (F.count("*") > 2).alias("more"))
+    pairs = kept.select("list", F.col("node").alias("b")).join(lead, "list").filter("a <> b")
+    return pairs.groupBy("a", "b").agg(F.bool_or("more").alias("more"))
+
+
+def _apart(new: DataFrame, tried: DataFrame) -> DataFrame:
+    """All that was tried with a lead of new, where not all of it is linked to the lead."""
+    leads = new.filter("more").select("a").distinct()
+    mine = tried.filter("more").join(leads, "a", "left_semi")
+    far = mine.groupBy("a").agg(F.count("*").alias("n"), F.bool_and("linked").alias("all")).filter("n > 1 AND NOT all")
+    return anchor(mine.join(far.select("a"), "a", "left_semi"))
 
 
 def _open(lists: DataFrame, found: DataFrame) -> DataFrame:
@@ -392,7 +411,7 @@ def _pairs_by_size(tried: DataFrame) -> DataFrame:
 def _lists(posted: DataFrame) -> DataFrame:
     """(list, node, size, need, times) of the sets that share tokens, pinned."""
     lists = posted.groupBy("bucket").applyInArrow(_listed, _LISTS)
-    return anchor(lists.groupBy("list", "node").agg(F.first("size").alias("size"), F.first("need").alias("need"), F.sum("times").alias("times")))
+    return anchor(lists.groupBy("list", "node").agg(F.first("size").alias("size"), F.first("need").alias("need"), F.sum("times").alias("times"), F.first("long").alias("long")))
 
 
 def _described(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -418,25 +437,28 @@ def labelled(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
     texts = anchor(_node_texts(docs, described, ends, seed))
 
-    tried = anchor(_tried(stars, texts, seed, excess))
-    links = tried.filter("linked").select("a", "b")
-    found = components(links)
-
-    far = tried.groupBy("a").agg(F.count("*").alias("n"), F.bool_and("linked").alias("all")).filter("n > 1 AND NOT all")
-    apart = anchor(tried.join(far.select("a"), "a"))
-    again = _lists(apart.select("a", "b", "b_size", "rest").mapInArrow(_again(buckets), _POSTED))
-    again = anchor(_open(again, found))
-    more = _stars(again.drop("of")).unionByName(_pairs_by_size(apart))
-    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
-    second = anchor(_tried(more, texts, seed))
-    links = links.unionByName(second.filter("linked").select("a", "b"))
-    found = components(links)
-
-    last = _pairs_between(_open(again.drop("of"), found)).join(known.unionByName(second.select("a", "b")), ["a", "b"], "left_anti")
-    third = anchor(_tried(last, texts, seed).filter("linked").select("a", "b"))
-    if third.take(1):
-        found = components(links.unionByName(third))
+    new = tried = anchor(_tried(stars, texts, seed, excess))
+    found = components(tried.filter("linked").select("a", "b"))
+    for turn in count(1):
+        apart = _apart(new, tried)
+        if not apart.take(1):
+            break
+        again = _lists(apart.select("a", "b", "b_size", "rest").mapInArrow(_again(buckets), _POSTED))
+        again = anchor(_open(again, found))
+        stars = anchor(_stars(again.filter(F.col("long") > SHORT)).join(tried.filter("more").select("a", "b"), ["a", "b"], "left_anti"))
+        pairs = _pairs_between(again.filter(F.col("long") <= SHORT)).unionByName(_pairs_by_size(apart))
+        done = turn == ROUNDS or not stars.take(1)
+        if done:
+            pairs = pairs.unionByName(_pairs_between(again.filter(F.col("long") > SHORT)))
+        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = pairs.distinct().join(known, ["a", "b"], "left_anti").withColumn("more", F.lit(False))
+        new = anchor(_tried(stars.unionByName(pairs), texts, seed, excess))
+        tried = tried.unionByName(new)
+        links = new.filter("linked").select("a", "b")
+        if links.take(1):
+            found = components(links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        if done:
+            break
 
     label = F.coalesce("component", "node")
     of = F.when(F.col("n_shingles") > 0, label).alias("component")
