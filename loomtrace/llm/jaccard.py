@@ -21,7 +21,7 @@ to c. If x and y are linked, then either they share tokens outside c, at least a
 holds only for y smaller than c. So the tokens outside c get prefixes and lists in turn,
 and for the second case partners are looked up by size. The new lists go through the same
 step with leads of their own, while one is left that has a lead not tried before and more
-than one component. Pairs are listed in short lists, and in lists still open after the
+than one component; only sets of lists that have more than one take part. Pairs are listed in short lists, and in lists still open after the
 last round. Pairs inside a component cannot change it.
 
 Shuffled: prefix postings packed per batch and bucket, lists of shared tokens, and the
@@ -60,11 +60,13 @@ VERIFY_COST = 8
 SHORT = 64
 #: Rounds of leads; of lists still open after them pairs between components are listed.
 ROUNDS = 3
+#: Pairs with one lead that a task joins to its text.
+PART = 4096
 #: Bits of the filter that finds the texts of candidates where they are read.
 FILTER_BITS = 1 << 23
 CELLS, CELL_SLICES = 1 << 20, 16
 #: Text bytes whose postings one bucket holds.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 24 << 20
 
 
 def shingle_sets(column: pa.Array, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -187,9 +189,12 @@ _POSTED = "bucket long, load binary"
 
 
 def _posted(token: np.ndarray, own: np.ndarray, node: np.ndarray, size: np.ndarray, need: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Postings packed by bucket; own is the place of each token's set in the other arrays."""
-    token = token >> np.uint64(16)
-    bucket = (token % np.uint64(buckets)).astype(np.int64)
+    """Postings packed by bucket; own is the place of each token's set in the other arrays.
+
+    The remainder of a token is its bucket, so only the quotient is sent.
+    """
+    token, bucket = np.divmod(token >> np.uint64(16), np.uint64(buckets))
+    bucket = bucket.astype(np.int64)
     order = np.lexsort((token, bucket))
     token, own, bucket = token[order], own[order], bucket[order]
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
@@ -257,41 +262,53 @@ def _sizes_fit(a: str, b: str):
     return F.least(a, b) * OF >= F.greatest(a, b) * SHARE
 
 
-def _maybe_chosen(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(doc_id, text) of the chosen ids (_id), and of some more.
+def _maybe_among(rows: DataFrame, chosen: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys are among the chosen ones, and some more.
 
     A Bloom filter of one hash and fixed size; the fuller it is, the more gets through.
     """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    cells = chosen.select(bit("_id").alias("bit")).groupBy(F.shiftright("bit", 6).alias("cell"))
-    rows = cells.agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits")).collect()
+    bit = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS)).alias("bit")
+    cells = chosen.select(bit).groupBy(F.shiftright("bit", 6).alias("cell"))
     there = np.zeros(FILTER_BITS >> 6, np.int64)
-    there[[r["cell"] for r in rows]] = [r["bits"] for r in rows]
-    shared = docs.sparkSession.sparkContext.broadcast(there)
+    for r in cells.agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits")).collect():
+        there[r["cell"]] = r["bits"]
+    shared = rows.sparkSession.sparkContext.broadcast(there)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column("bit").to_numpy()
             hit = (shared.value[at >> 6] >> (at & 63)) & 1
-            yield batch.filter(pa.array(hit.astype(bool))).select(["doc_id", "text"])
+            yield batch.filter(pa.array(hit.astype(bool))).drop_columns(["bit"])
 
-    source = docs.select("doc_id", "text", bit(F.col("doc_id").cast("long")).alias("bit"))
-    return source.mapInArrow(keep, source.drop("bit").schema)
+    return rows.select("*", bit).mapInArrow(keep, rows.schema)
 
 
 def _node_texts(docs: DataFrame, described: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
     """(node, text): a packed text of each of the nodes."""
-    chosen = anchor(described.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("_id")))
-    met = _maybe_chosen(docs, chosen).join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
+    rows = described.join(nodes, "node").groupBy("node", "doc_id", "mark").agg(F.count("*").alias("n"))
+    best = F.min(F.struct("doc_id", "mark", "n")).alias("best")
+    chosen = anchor(rows.groupBy("node").agg(best).select("node", F.col("best.doc_id").alias("_id"), F.col("best.mark").alias("_mark"), "best.n"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    keys = chosen.select(F.col("_id").alias("doc_id"), F.col("_mark").alias("mark"))
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
-            token, first = shingle_sets(batch.column("text"), seed)
-            right = np.flatnonzero(_nodes(token, first, seed) == batch.column("node").to_numpy())
-            texts = [W.packed(np.frombuffer(batch.column("text")[i].as_py().encode(), np.uint8)) for i in right]
-            yield pa.record_batch([batch.column("node").take(pa.array(right)), pa.array(texts, pa.binary())], ["node", "text"])
+            texts = [W.packed(np.frombuffer(x.encode(), np.uint8), level=6) for x in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("mark"), pa.array(texts, pa.binary())], ["doc_id", "mark", "text"])
+
+    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.slices(batches, "text", 1 << 20):
+            texts = [W.unpacked(x)[0].tobytes() for x in batch.column("text").to_pylist()]
+            token, first = shingle_sets(pa.array(texts, pa.large_binary()), seed)
+            yield batch.filter(pa.array(_nodes(token, first, seed) == batch.column("node").to_numpy()))
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        packed = _maybe_among(source.filter("text IS NOT NULL"), keys, "doc_id", "mark").mapInArrow(small, "doc_id long, mark long, text binary")
+        met = packed.join(some, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("node", "text")
+        return met.mapInArrow(right, "node long, text binary")
 
-    return met.mapInArrow(small, "node long, text binary").dropDuplicates(["node"])
+    texts, repeated = texts_of(chosen.filter("n = 1")), chosen.filter("n > 1")
+    return texts.unionByName(texts_of(repeated).dropDuplicates(["node"])) if repeated.take(1) else texts
 
 
 _TRIED = "a long, b long, a_size long, b_size long, shared long, linked boolean, more boolean, rest binary"
@@ -300,9 +317,14 @@ _TRIED = "a long, b long, a_size long, b_size long, shared long, linked boolean,
 def _tried(pairs: DataFrame, texts: DataFrame, seed: int, excess) -> DataFrame:
     """Pairs of nodes by their whole sets: sizes, shared tokens, and whether linked.
 
-    Of pairs marked more also rest: the prefix of the tokens of b outside a.
+    Of pairs marked more also rest: the prefix of the tokens of b outside a. Leads have
+    short texts for their lists, so the text of a travels to b. The pairs of one a are
+    dealt over parts of PART pairs.
     """
     a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = pairs.select("a", "b", "more").join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    leads = parts.join(_maybe_among(a, parts, "a"), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def outside(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """With s tokens in common, another set that is linked to y shares the rest of
@@ -332,7 +354,7 @@ def _tried(pairs: DataFrame, texts: DataFrame, seed: int, excess) -> DataFrame:
             columns = [*ends, *sizes, shared, linked, np.array(more, bool)]
             yield pa.record_batch([*map(pa.array, columns), pa.array(rest, pa.binary())], [c.split()[0] for c in _TRIED.split(", ")])
 
-    met = pairs.select("a", "b", "more").join(b, "b").join(a, "a").select("a", "b", "more", "a_text", "b_text")
+    met = dealt.drop("parts").join(leads, ["a", "part"]).join(_maybe_among(b, pairs, "b"), "b").select("a", "b", "more", "a_text", "b_text")
     return met.mapInArrow(verify, _TRIED)
 
 
@@ -351,8 +373,8 @@ def _again(buckets: int):
     return send
 
 
-def _stars(lists: DataFrame) -> DataFrame:
-    """(a, b, more): the lead of each list with every other set of it; more if there are two.
+def _led(lists: DataFrame) -> DataFrame:
+    """(list, node, a, more): the sets of each list, its lead, and whether two others are there.
 
     A set stays if it has as many shared tokens as a pair with it needs.
     """
@@ -363,16 +385,23 @@ def _stars(lists: DataFrame) -> DataFrame:
     )
     kept = lists.select("list", "node").join(degree.filter("degree >= need").select("node", "middle"), "node")
     lead = kept.groupBy("list").agg(F.max_by("node", F.struct("middle", "node")).alias("a"), (F.count("*") > 2).alias("more"))
-    pairs = kept.select("list", F.col("node").alias("b")).join(lead, "list").filter("a <> b")
-    return pairs.groupBy("a", "b").agg(F.bool_or("more").alias("more"))
+    return kept.select("list", "node").join(lead, "list")
 
 
-def _apart(new: DataFrame, tried: DataFrame) -> DataFrame:
-    """All that was tried with a lead of new, where not all of it is linked to the lead."""
-    leads = new.filter("more").select("a").distinct()
-    mine = tried.filter("more").join(leads, "a", "left_semi")
-    far = mine.groupBy("a").agg(F.count("*").alias("n"), F.bool_and("linked").alias("all")).filter("n > 1 AND NOT all")
-    return anchor(mine.join(far.select("a"), "a", "left_semi"))
+def _stars(led: DataFrame) -> DataFrame:
+    """(a, b, more): the lead of each list with every other set of it."""
+    return led.filter("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.bool_or("more").alias("more"))
+
+
+def _apart(led: DataFrame, tried: DataFrame, found: DataFrame) -> DataFrame | None:
+    """What was tried with the leads of lists that are not in one component, or None.
+
+    Two linked sets are together in a list. While their components differ, that list is
+    open, so both are here with its lead. What the filter lets through besides is compared
+    in vain, but changes no result.
+    """
+    pairs = anchor(_open(led.filter("more"), found).filter("a <> node").select("a", F.col("node").alias("b")).distinct())
+    return _maybe_among(tried.filter("more"), pairs, "a", "b") if pairs.take(1) else None
 
 
 def _open(lists: DataFrame, found: DataFrame) -> DataFrame:
@@ -433,19 +462,21 @@ def labelled(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     buckets = max(1, -(-size // bucket_bytes))
     posted = docs.select("doc_id", "text").mapInArrow(_send(seed, buckets, excess), _POSTED)
     lists = _lists(posted)
-    stars = anchor(_stars(lists))
+    led = anchor(_led(lists))
+    stars = anchor(_stars(led))
     ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
     texts = anchor(_node_texts(docs, described, ends, seed))
 
-    new = tried = anchor(_tried(stars, texts, seed, excess))
+    tried = anchor(_tried(stars, texts, seed, excess))
     found = components(tried.filter("linked").select("a", "b"))
     for turn in count(1):
-        apart = _apart(new, tried)
-        if not apart.take(1):
+        apart = _apart(led, tried, found)
+        if apart is None:
             break
         again = _lists(apart.select("a", "b", "b_size", "rest").mapInArrow(_again(buckets), _POSTED))
         again = anchor(_open(again, found))
-        stars = anchor(_stars(again.filter(F.col("long") > SHORT)).join(tried.filter("more").select("a", "b"), ["a", "b"], "left_anti"))
+        led = anchor(_led(again.filter(F.col("long") > SHORT).drop("of")))
+        stars = anchor(_stars(led).join(tried.filter("more").select("a", "b"), ["a", "b"], "left_anti"))
         pairs = _pairs_between(again.filter(F.col("long") <= SHORT)).unionByName(_pairs_by_size(apart))
         done = turn == ROUNDS or not stars.take(1)
         if done:

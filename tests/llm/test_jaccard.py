@@ -52,6 +52,15 @@ def test_equals_brute_force(documents, seed):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 3])
+def test_rounds_of_leads_and_dealt_pairs(documents, monkeypatch, seed):
+    monkeypatch.setattr(jaccard, "SHORT", 2)
+    monkeypatch.setattr(jaccard, "PART", 3)
+    rows = corpus(seed + 10, 4, 0.03 * seed) + [(5000, "a b c d e f g"), (5000, "a b c d e f g"), (5001, "a b c d e f g h")]
+    got = jaccard.link_components(documents(rows), bucket_bytes=2000).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
 def test_many_documents_that_share_a_passage(documents):
     rng = random.Random(9)
     passage = " ".join(f"p{i}" for i in range(30))
