@@ -54,7 +54,8 @@ def profile(
         F.sum(-m * share * F.log2(share)).alias("entropy"),
         (F.sum(m * F.abs(d)) / F.max("u")).alias("mad"),
     )
-    u, s, n = F.col("u"), F.col("s"), 2 * F.col("u")
+    # a product of three sizes outgrows a long from a million items on
+    u, s, n = F.col("u"), F.col("s"), 2 * F.col("u").cast("double")
     gini = 2 * F.col("ix") / (u * s) - (u + 1) / u
     s2 = F.col("m2") / (n - 1)
     first = n * (n + 1) / ((n - 1) * (n - 2) * (n - 3))

@@ -152,3 +152,12 @@ def test_scores_of_a_perfect_run(spark):
     df = spark.createDataFrame(rows, "run_id string, part string, example_id long, y_true string, y_pred string")
     got = evaluation.scores(df).first()
     assert got["mcc"] == pytest.approx(1.0) and got["cohen_kappa"] == pytest.approx(1.0) and got["f1_macro"] == 1.0
+
+
+def test_kurtosis_of_over_a_million_items(spark):
+    from loomtrace.operators.sequences import profile
+
+    n = 1_200_000
+    counts = spark.range(n).selectExpr("'a' AS actor", "id AS token", "1 + id % 3 AS cnt")
+    row = profile(counts, ["actor"]).first()
+    assert row["n_distinct"] == n and row["kurtosis"] == pytest.approx(-1.5, abs=1e-4)
