@@ -1,6 +1,7 @@
 import datetime as dt
 
 from loomtrace.operators import features
+from loomtrace.queries import sources
 from loomtrace.sources import testviews
 
 
@@ -23,3 +24,13 @@ def test_grams_of_a_document_stay_in_its_task(spark, tmp_path, capsys):
     features.term_counts(docs, features.TextFeatures()).explain()
     plan = capsys.readouterr().out
     assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_log_files_do_not_multiply_with_the_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(testviews, "EVENTS", 2, raising=False)
+    stamp = dt.datetime(2024, 1, 1)
+    rows = [(i, stamp, 7, "view", 1.5, "{}") for i in range(400)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/events.parquet")
+    files = spark.read.text(f"{sources.written_logs(spark, str(tmp_path))}/audit/*").inputFiles()
+    assert len(files) == spark.sparkContext.defaultParallelism
