@@ -3,6 +3,7 @@ from collections import Counter
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,39 @@ def test_other_models_and_sizes(view):
     with pytest.raises(ValueError, match="svm"):
         leave_out.fold_predictions(view, SPECS[0], folds, [(0, C("svm", {"C": 1.0}))])
     assert leave_out.nested_splits({"all": view}, [(SPECS[0], C("mnb", {"alpha": 1.0}))], minimum={"train": 10_000}).count() == 0
+
+
+def test_blocks_hold_one_actor_and_get_half_the_folds(spark, view):
+    """What a block is sent of a term: the sums of the folds that hold its actor out, of terms the actor has."""
+    folds = leave_out.folds_of(view)
+    dealt = leave_out.deal(view, folds, block_cells=200)
+    actors = {r.id: r.actor for r in view.select(F.col("example_id").cast("string").alias("id"), "actor").collect()}
+    rows = dealt.rows.select("block", "id").collect()
+    assert len(rows) == 151 and len({r.block for r in rows}) > 6
+    assert all(folds.actors[dealt.of[r.block]] == actors[r.id] for r in rows)
+    df = np.zeros((2, 6), np.int32)
+    df[0, 1], df[1, 2] = 3, 5
+    s = np.arange(36.0).reshape(2, 18)
+    batch = pa.record_batch([pa.array(["a", "b"]), *(leave_out._packed(x) for x in (df, np.full((2, 2), 255, np.uint8), s))], ["term", "df", "kept", "s"])
+    sent = list(leave_out._sent(np.array([0, 1, 1, 2]), folds, True)([batch]))
+    assert [(b.column("block").to_pylist(), b.column("term").to_pylist()) for b in sent] == [([1], ["a"]), ([2], ["a"]), ([3], ["b"])]
+    at = np.flatnonzero(folds.held[2])
+    assert np.frombuffer(sent[2].column("s")[0].as_py()).tolist() == [*s[1, at], *s[1, 9 + at]] and len(at) == 6
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 100])
+def test_chunks_keep_the_rows_of_an_id_together(chunk):
+    rows = [(0, "a", ["x"]), (0, "b", ["x", "y"]), (0, "b", ["y"]), (0, None, None), (2, "b", ["z"]), (2, "c", [])]
+    names = ["block", "id", "draw", "terms"]
+    batches = [pa.record_batch([pa.array([b], pa.int32()), pa.array([i], pa.string()), pa.array([0.5]), pa.array([t], pa.list_(pa.string()))], names) for b, i, t in rows]
+    seen = []
+
+    def start(block, _):
+        def run(table):
+            cells, terms = leave_out._counted(table, TextFeatures(), None)
+            seen.extend((block, k, terms[t].as_py(), tf) for k, t, tf in zip(cells.rows[cells.example], cells.term, cells.local, strict=True))
+
+        return run, lambda: iter([block])
+
+    assert list(leave_out._chunks(batches, chunk, start)) == [0, 2]
+    assert sorted(seen) == [(0, 1, "x", 1.0), (0, 2, "x", 1.0), (0, 2, "y", 2.0), (2, 1, "z", 1.0)]
