@@ -483,7 +483,9 @@ def labelled(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
             pairs = pairs.unionByName(_pairs_between(again.filter(F.col("long") > SHORT)))
         known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = pairs.distinct().join(known, ["a", "b"], "left_anti").withColumn("more", F.lit(False))
-        new = anchor(_tried(stars.unionByName(pairs), texts, seed, excess))
+        # Read for two filters and the join: unless pinned, planned and made three times over.
+        wanted = anchor(stars.unionByName(pairs))
+        new = anchor(_tried(wanted, texts, seed, excess))
         tried = tried.unionByName(new)
         links = new.filter("linked").select("a", "b")
         if links.take(1):

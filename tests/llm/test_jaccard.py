@@ -69,6 +69,20 @@ def test_many_documents_that_share_a_passage(documents):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+def test_pairs_to_try_are_pinned(documents, monkeypatch):
+    monkeypatch.setattr(jaccard, "SHORT", 2)
+    plans, tried = [], jaccard._tried
+
+    def seen(pairs, *rest):
+        plans.append(pairs._jdf.queryExecution().optimizedPlan().toString())
+        return tried(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_tried", seen)
+    jaccard.link_components(documents(corpus(11, 4)), bucket_bytes=2000)
+    assert len(plans) > 1
+    assert all("Join" not in p and "Aggregate" not in p for p in plans)
+
+
 def test_odd_rows(documents, odd_rows):
     got = jaccard.link_components(documents(odd_rows)).collect()
     assert sorted(map(tuple, got), key=str) == brute(odd_rows)
