@@ -146,3 +146,46 @@ def test_chunks_keep_the_rows_of_an_id_together(chunk):
 
     assert list(leave_out._chunks(batches, chunk, start)) == [0, 2]
     assert sorted(seen) == [(0, 1, "x", 1.0), (0, 2, "x", 1.0), (0, 2, "y", 2.0), (2, 1, "z", 1.0)]
+
+
+ODD = ["a  b\tc", "  ", "", "xyz", "x\0y\0", "żółć 漢字漢字 🙂🙂 end", "Aa_b1 aa_B1 aa", "\n\nlong word word word"]
+
+
+@pytest.mark.parametrize("spec", [TextFeatures(analyzer="char", ngrams=(3, 5), lowercase=False), TextFeatures(ngrams=(1, 2))])
+def test_packed_examples_have_the_terms_of_their_texts(spark, spec):
+    """Terms are runs of numbered units and are spelled once each; Spark makes no terms."""
+    view = spark.createDataFrame([(i // 2, ACTORS[i // 2 % 2], "human", t) for i, t in enumerate([*ODD, None])], "example_id long, actor string, label string, text string")
+    dealt = leave_out.deal(view, leave_out.folds_of(spark.createDataFrame([(a,) for a in ACTORS], "actor string")), spec)
+    got = {}
+    for block in {r.block for r in dealt.rows.select("block").collect()}:
+        rows = dealt.rows.where(F.col("block") == block).orderBy("id").toArrow()
+        cells, terms = leave_out._counted(rows, spec, None)
+        ids = sorted(set(rows.column("id").to_pylist()))
+        got |= {(int(ids[e]), terms[t].as_py()): tf for e, t, tf in zip(cells.example, cells.term, cells.local, strict=True)}
+        known = pa.array(sorted(set(terms.to_pylist()))[::2], pa.string())
+        some, _ = leave_out._counted(rows, spec, known)
+        assert {(int(ids[e]), known[t].as_py()): tf for e, t, tf in zip(some.example, some.term, some.local, strict=True)} == {k: v for k, v in got.items() if str(k[0]) in ids and k[1] in known.to_pylist()}
+        assert (np.diff(some.example) >= 0).all()
+    assert got == {(r.example_id, r.term): r.tf for r in term_counts(view, spec).collect()}
+
+
+def test_runs_too_long_for_a_number_are_ranked():
+    rng = np.random.default_rng(5)
+    unit, text = rng.integers(0, 900, 400).astype(np.int32), np.repeat(np.arange(40), 10)
+    grams = leave_out._Grams(unit, text, 900, 24)
+    for _ in range(5):
+        grams.longer()
+    runs, of = grams.whole()
+    want = [unit[i : i + 6].tolist() for i in range(395) if text[i] == text[i + 5]]
+    assert grams.digits(runs).tolist() == want and of.tolist() == [t for t in range(40) for _ in range(5)]
+
+
+def test_texts_are_shuffled_once(spark, view):
+    """A pass sends the model to where the texts are laid out."""
+    folds = leave_out.folds_of(view)
+    dealt = leave_out.deal(view, folds)
+    model = spark.createDataFrame([], leave_out.SENT)
+    plan = leave_out._met(dealt, model, SPECS[0], None, "candidate long, n long")._jdf.queryExecution().executedPlan().toString()
+    counts = dealt.packed.groupBy("slot").applyInArrow(leave_out._actor_counts(dealt, SPECS[0], folds), "term string, actor string, df long, cf long")
+    assert plan.count("Exchange") == 1 and "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert len({r.slot for r in dealt.packed.collect()}) == 6
