@@ -6,7 +6,8 @@ the last one and a restart goes on where it stopped. Only whole lines are taken;
 unfinished one waits for its end. A file that is shorter than what was read, or whose
 first bytes changed, was begun anew and is read from its start. The bytes of a trigger
 are cut into pieces of ``pieceBytes`` that tasks read side by side; a line belongs to the
-piece in which it begins.
+piece in which it begins. Small pieces share a task, so that tasks do not outnumber cores
+more than the bytes ask for.
 
 Files are opened by path, so the folder has to be mounted alike on all machines.
 """
@@ -23,6 +24,10 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 NAME = "appended_lines"
 PIECE_BYTES, BATCH_LINES = 16 << 20, 10_000
+#: Bytes of small pieces that one task reads, one piece after the other.
+TASK_BYTES = 16 << 20
+#: Tasks of a trigger before pieces share one.
+LEAST_TASKS = 256
 #: Bytes at a file's start by which it is known again.
 HEAD_BYTES = 256
 _STEP = 1 << 16
@@ -64,6 +69,14 @@ class Piece(InputPartition):
         self.path, self.first, self.start, self.end = path, first, start, end
 
 
+class Pieces(InputPartition):
+    """Pieces that one task reads."""
+
+    def __init__(self, pieces: list[Piece]):
+        super().__init__(tuple(p.value for p in pieces))
+        self.pieces = pieces
+
+
 class Appended(DataSourceStreamReader):
     """Offsets are {path: [bytes read, bytes of the head, crc32 of the head]}."""
 
@@ -97,7 +110,13 @@ class Appended(DataSourceStreamReader):
             self._known[path] = seen, [end, head, head_of(path, head)]
         return self._known[path][1]
 
-    def partitions(self, start: dict, end: dict) -> list[Piece]:
+    def partitions(self, start: dict, end: dict) -> list[Pieces]:
+        """Pieces side by side while they are few, else as many to a task as it reads."""
+        pieces = self.pieces(start, end)
+        share = max(1, min(TASK_BYTES // self.piece_bytes, len(pieces) // LEAST_TASKS))
+        return [Pieces(pieces[a : a + share]) for a in range(0, len(pieces), share)]
+
+    def pieces(self, start: dict, end: dict) -> list[Piece]:
         out = []
         for path, (to, _, _) in sorted(end.items()):
             since = self._since(path, start.get(path), to)
@@ -110,7 +129,11 @@ class Appended(DataSourceStreamReader):
             return 0
         return before[0]
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
+        for piece in partition.pieces:
+            yield from self._read(piece)
+
+    def _read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         at, text = [], []
         with open(partition.path, "rb") as file:
             place = partition.start

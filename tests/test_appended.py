@@ -65,3 +65,17 @@ def test_whole_lines_and_paths(tmp_path, monkeypatch):
     assert appended.local_path("file:///a/b") == "/a/b" == appended.local_path("file:/a/b") == appended.local_path("/a/b")
     with pytest.raises(ValueError, match="hdfs"):
         appended.local_path("hdfs://x/a")
+
+
+def test_small_pieces_share_a_task(tmp_path, monkeypatch):
+    """Tasks grow with the bytes, not with the pieces; every line still comes once."""
+    monkeypatch.setattr(appended, "LEAST_TASKS", 4)
+    texts = [f"line {i}" for i in range(300)]
+    (tmp_path / "x.log").write_text("\n".join(texts) + "\n")
+    reader = appended.Appended(str(tmp_path), 5)
+    end = reader.latestOffset()
+    tasks = reader.partitions({}, end)
+    assert 4 <= len(tasks) <= 8 and len(reader.pieces({}, end)) > 400
+    assert [t for p in tasks for b in reader.read(p) for t in b.column("text").to_pylist()] == texts
+    monkeypatch.setattr(appended, "TASK_BYTES", 50)
+    assert all(len(p.pieces) <= 10 for p in reader.partitions({}, end))
